@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_stats",)
+MODULES = ("q_stats", "q_insights")
 
 
 def load_queries() -> None:

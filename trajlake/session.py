@@ -4,8 +4,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-BLOCK_ROWS_KEY = "trajlake.block.rows"
-SPLIT_ROWS_KEY = "trajlake.split.rows"
+BLOCK_ROWS_KEY = "spark.trajlake.block.rows"
+SPLIT_ROWS_KEY = "spark.trajlake.split.rows"
 
 # Rows of one episode that one task sorts in a window.
 DEFAULT_BLOCK_ROWS = 65_536
