@@ -62,7 +62,9 @@ def steps(frames: DataFrame, episodes: DataFrame, column: str = "action") -> Dat
     plain = [c for c in episodes.columns if c not in arrays and c not in KEYS]
     near = blocked(action_rows(frames, column), before=1, episodes=episodes)
     near = near.withColumn("v", fit(F.col("v"), F.col("dims")))
-    near = near.withColumn("p", F.lag("v").over(window())).where(core())
+    # Zipping with a null array would lose the first row, so it gets an empty one.
+    none = F.array().cast("array<double>")
+    near = near.withColumn("p", F.coalesce(F.lag("v").over(window()), none)).where(core())
     zipped = F.posexplode(F.arrays_zip("v", "p", *arrays)).alias("dim", "_z")
     first = F.col("position") == 0
     x = F.coalesce(F.col("_z.v"), F.lit(0.0))

@@ -114,7 +114,10 @@ def top_per_group(
 
 def stuck_share(frames: DataFrame, column: str) -> DataFrame:
     """Per (episode, dim): share of steps that leave the dim unchanged (>=5 rows, varying dims)."""
+    # Zipping with a null array would lose the first row, so it gets an empty one.
+    none = F.array().cast("array<double>")
     steps = with_previous(frames, column).where(F.col("n") >= 5)
+    steps = steps.withColumn("p", F.coalesce("p", none))
     long = steps.select(
         *KEYS, "n", F.posexplode(F.arrays_zip("v", "p")).alias("dim", "_z")
     )

@@ -10,6 +10,7 @@ from trajlake.plans.oracle import EV, EV_LONG, LI, LI_LONG, r, sql
 from trajlake.plans.q_stats import rounded
 from trajlake.plans.registry import query
 from trajlake.plans.views import ev_frames, li_frames
+from trajlake.session import cut
 
 MOVE = """,
 mv AS (SELECT dataset, episode_index, max(n) AS n, floor(avg(st) * 1e4 + 0.5) / 1e4 AS movement
@@ -107,7 +108,7 @@ def motor_range(spark, sf):
 )
 def activity(spark, sf):
     frames = sparse(spark, sf)
-    return ins.activity(frames, ins.motor_ranges(frames)).drop("scaled_path")
+    return ins.activity(frames, cut(ins.motor_ranges(frames))).drop("scaled_path")
 
 
 @query(
@@ -120,8 +121,8 @@ def activity(spark, sf):
 )
 def velocity(spark, sf):
     frames = sparse(spark, sf)
-    ranges = ins.motor_ranges(frames)
-    out, _ = ins.velocity_stats(frames, ranges, ins.activity(frames, ranges))
+    ranges = cut(ins.motor_ranges(frames))
+    out, _ = ins.velocity_stats(frames, ranges, cut(ins.activity(frames, ranges)))
     return rounded(out, "std", "max_abs", "lo", "hi")
 
 
@@ -136,8 +137,8 @@ FROM vel JOIN vs USING (dataset, dim) GROUP BY 1, 2, 3""",
 )
 def velocity_bins(spark, sf):
     frames = sparse(spark, sf)
-    ranges = ins.motor_ranges(frames)
-    return ins.velocity_stats(frames, ranges, ins.activity(frames, ranges))[1]
+    ranges = cut(ins.motor_ranges(frames))
+    return ins.velocity_stats(frames, ranges, cut(ins.activity(frames, ranges)))[1]
 
 
 ACF = """,
@@ -167,7 +168,7 @@ def autocorrelation(spark, sf):
     ),
 )
 def suggested_chunk(spark, sf):
-    return ins.suggested_chunk(ins.autocorrelation(ev(spark, sf)))
+    return ins.suggested_chunk(cut(ins.autocorrelation(ev(spark, sf))))
 
 
 JERK = """,
@@ -181,7 +182,7 @@ jk AS (SELECT dataset, episode_index, coalesce(sum(path) FILTER (active) / sum(s
 )
 def jerkiness(spark, sf):
     frames = sparse(spark, sf)
-    return rounded(ins.jerkiness(ins.activity(frames, ins.motor_ranges(frames))), "jerkiness")
+    return rounded(ins.jerkiness(ins.activity(frames, cut(ins.motor_ranges(frames)))), "jerkiness")
 
 
 @query(
@@ -194,7 +195,7 @@ def jerkiness(spark, sf):
 )
 def jerky_ranking(spark, sf):
     frames = sparse(spark, sf)
-    scores = rounded(ins.jerkiness(ins.activity(frames, ins.motor_ranges(frames))), "jerkiness")
+    scores = rounded(ins.jerkiness(ins.activity(frames, cut(ins.motor_ranges(frames)))), "jerkiness")
     return ins.lowest(scores, "jerkiness", 15, descending=True)
 
 
@@ -240,7 +241,7 @@ def cross_correlation(spark, sf):
     ),
 )
 def alignment_envelope(spark, sf):
-    out = ins.alignment_envelope(ins.cross_correlation(ev(spark, sf), pairs(spark)))
+    out = ins.alignment_envelope(cut(ins.cross_correlation(ev(spark, sf), pairs(spark))))
     return rounded(out, "max", "mean", "min")
 
 
@@ -258,7 +259,7 @@ sp AS (SELECT dataset, min(lag) AS lo, max(lag) AS hi, count(*) AS pairs FROM ow
     ),
 )
 def alignment_peaks(spark, sf):
-    out = ins.alignment_peaks(ins.cross_correlation(ev(spark, sf), pairs(spark)))
+    out = ins.alignment_peaks(cut(ins.cross_correlation(ev(spark, sf), pairs(spark))))
     return rounded(out, "mean_peak", "max_peak", "min_peak")
 
 
@@ -279,7 +280,7 @@ sdw AS (SELECT *, CASE WHEN hi = lo THEN 1 ELSE hi - lo END / bins AS bin_width
     ),
 )
 def speed_distribution(spark, sf):
-    return rounded(ins.speed_distribution(ins.movement(ev(spark, sf))), "mean", "std", "cv", "bin_width")
+    return rounded(ins.speed_distribution(cut(ins.movement(ev(spark, sf)))), "mean", "std", "cv", "bin_width")
 
 
 @query(
@@ -291,7 +292,7 @@ FROM mv JOIN sdw USING (dataset) GROUP BY 1, 2""",
     ),
 )
 def speed_histogram(spark, sf):
-    scores = ins.movement(ev(spark, sf))
+    scores = cut(ins.movement(ev(spark, sf)))
     return ins.speed_histogram(scores, ins.speed_distribution(scores))
 
 
@@ -311,8 +312,8 @@ cn AS (SELECT dataset, count(*) AS active, count(*) FILTER (share < 0.4) AS smoo
 )
 def smoothness(spark, sf):
     frames = ev(spark, sf)
-    ranges = ins.motor_ranges(frames)
-    out, _ = ins.velocity_stats(frames, ranges, ins.activity(frames, ranges))
+    ranges = cut(ins.motor_ranges(frames))
+    out, _ = ins.velocity_stats(frames, ranges, cut(ins.activity(frames, ranges)))
     names = spark.createDataFrame(
         [("events", 0, "joint"), ("events", 1, "left_gripper")], "dataset string, dim int, name string"
     )
@@ -371,8 +372,8 @@ sv AS (SELECT episode_index, dim, count(*) AS steps, stddev_pop(d / motor_range)
 )
 def episode_velocity(spark, sf):
     frames = ins.each_episode(ev(spark, sf))
-    ranges = ins.motor_ranges(frames)
-    out, _ = ins.velocity_stats(frames, ranges, ins.activity(frames, ranges))
+    ranges = cut(ins.motor_ranges(frames))
+    out, _ = ins.velocity_stats(frames, ranges, cut(ins.activity(frames, ranges)))
     return rounded(out, "std", "max_abs", "lo", "hi")
 
 
@@ -529,7 +530,7 @@ UNION ALL SELECT dataset, episode_index, position, value FROM ev WHERE n <= 20""
     ),
 )
 def even_sample(spark, sf):
-    frames = ev_frames(spark, sf, with_state=False)
+    frames = ev_frames(spark, sf)
     return ep.even_sample(frames, 20).select(*KEYS, "position", F.col("action")[0].alias("value"))
 
 
@@ -542,7 +543,7 @@ WHERE episode_index IN (SELECT episode_index FROM big) GROUP BY 1, 2""",
     ),
 )
 def episode_list(spark, sf):
-    frames = ev_frames(spark, sf, with_state=False)
+    frames = ev_frames(spark, sf)
     chosen = frames.groupBy(*KEYS).agg(F.max(F.col("action")[0]).alias("m")).where("m > 400")
     out = ep.only(frames, chosen).groupBy(*KEYS).agg(
         F.count("*").alias("n"), F.sum(F.col("action")[0]).alias("total")
@@ -559,7 +560,7 @@ FROM ev JOIN du USING (episode_index)""",
     ),
 )
 def normalised_time(spark, sf):
-    frames = ev_frames(spark, sf, with_state=False)
+    frames = ev_frames(spark, sf)
     durations = frames.groupBy(*KEYS).agg(F.max("timestamp").alias("duration"))
     out = ep.normalised_time(frames, durations)
     return rounded(out.select(*KEYS, "position", "display_time"), "display_time")
@@ -574,7 +575,7 @@ FROM ev GROUP BY 1, 2""",
     ),
 )
 def episode_duration(spark, sf):
-    frames = ev_frames(spark, sf, with_state=False)
+    frames = ev_frames(spark, sf)
     per = frames.groupBy(*KEYS).agg(
         F.count("*").alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b")
     )

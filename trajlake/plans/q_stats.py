@@ -181,7 +181,7 @@ FROM d WHERE dt IS NOT NULL GROUP BY dataset, episode_index""",
 )
 def timestamp_checks(spark, sf):
     rates = spark.createDataFrame([("events", 1.0 / 39600)], "dataset string, fps double")
-    out = mc.clock_issues(ev_frames(spark, sf, with_state=False), rates)
+    out = mc.clock_issues(ev_frames(spark, sf), rates)
     return rounded(out, "mean_interval", digits=3).drop("fps")
 
 
@@ -196,7 +196,7 @@ FROM ev WHERE task_index = 3 GROUP BY dataset, episode_index""",
 )
 def frame_index_continuity(spark, sf):
     # The declared index is wrong by 3 on the frames of one event type.
-    frames = ev_frames(spark, sf, with_state=False)
+    frames = ev_frames(spark, sf)
     wrong = F.when(F.col("task_index") == 3, F.col("position") + 3).otherwise(F.col("position"))
     return mc.frame_index_mismatches(frames.withColumn("frame_index", wrong))
 
@@ -212,7 +212,7 @@ def frame_index_continuity(spark, sf):
     ),
 )
 def global_index_continuity(spark, sf):
-    return mc.global_index_breaks(ev_frames(spark, sf, with_state=False))
+    return mc.global_index_breaks(ev_frames(spark, sf))
 
 
 @query(

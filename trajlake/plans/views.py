@@ -1,17 +1,21 @@
-"""Trajectory views over the benchmark tables (events, lineitem, embeddings, …)."""
+"""Trajectory views over the benchmark tables (events, lineitem, embeddings, …).
+
+Each view is written once per application as a frame table, the form in which
+recordings are stored, and read from there by the queries.
+"""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.operators.blocks import (
     KEYS,
-    attach,
     blocked,
     core,
     episode_lengths,
     positions,
     window,
 )
+from trajlake.session import cut_once
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
@@ -24,7 +28,19 @@ def micros(column: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, cast({column} as timestamp_ntz))")
 
 
-def ev_frames(spark: SparkSession, sf: str, with_state: bool = True) -> DataFrame:
+def ev_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_once("ev_frames", sf, lambda: build_ev_frames(spark, sf))
+
+
+def li_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_once("li_frames", sf, lambda: build_li_frames(spark, sf))
+
+
+def emb_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_once("emb_frames", sf, lambda: build_emb_frames(spark, sf))
+
+
+def build_ev_frames(spark: SparkSession, sf: str) -> DataFrame:
     """events as trajectories: one episode per user, a frame per event."""
     rows = table(spark, sf, "events").select(
         F.lit("events").alias("dataset"),
@@ -37,12 +53,8 @@ def ev_frames(spark: SparkSession, sf: str, with_state: bool = True) -> DataFram
     )
     numbered = positions(rows, ["_us", "event_id"], F.col("_us"))
     lengths = episode_lengths(numbered, F.min("_us").alias("_start"))
-    if with_state:
-        frames = blocked(numbered, after=1, episodes=lengths)
-        frames = frames.withColumn("_next", F.lead("value").over(window())).where(core())
-        frames = frames.drop("_block", "_home")
-    else:
-        frames = attach(numbered, lengths).withColumn("_next", F.lit(None).cast("double"))
+    frames = blocked(numbered, after=1, episodes=lengths)
+    frames = frames.withColumn("_next", F.lead("value").over(window())).where(core())
     return frames.select(
         *KEYS,
         "position",
@@ -71,7 +83,7 @@ LI_ORDER = [
 ]
 
 
-def li_frames(spark: SparkSession, sf: str) -> DataFrame:
+def build_li_frames(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem as trajectories: a dataset per return flag, an episode per supplier."""
     rows = table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("dataset"),
@@ -97,7 +109,7 @@ def li_frames(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def emb_frames(spark: SparkSession, sf: str) -> DataFrame:
+def build_emb_frames(spark: SparkSession, sf: str) -> DataFrame:
     """embeddings as trajectories: an episode per label, 64-wide action vectors."""
     rows = table(spark, sf, "embeddings").select(
         F.lit("embeddings").alias("dataset"),

@@ -1,6 +1,9 @@
-"""Session helpers: tunables read from the session, and lineage cutting."""
+"""Session helpers: tunables read from the session, and tables written between stages."""
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +15,15 @@ DEFAULT_BLOCK_ROWS = 65_536
 # Rows of one ordering group above which it is sliced before it is numbered.
 DEFAULT_SPLIT_ROWS = 1_048_576
 
+_WRITTEN: dict = {}
+_LOCAL: dict = {}
+
+
+@atexit.register
+def _clean_local() -> None:
+    if "folder" in _LOCAL:
+        shutil.rmtree(_LOCAL["folder"], ignore_errors=True)
+
 
 def block_rows() -> int:
     return int(SparkSession.active().conf.get(BLOCK_ROWS_KEY, str(DEFAULT_BLOCK_ROWS)))
@@ -21,15 +33,34 @@ def split_rows() -> int:
     return int(SparkSession.active().conf.get(SPLIT_ROWS_KEY, str(DEFAULT_SPLIT_ROWS)))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach; a temporary one only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="trajlake-"))
+    return folder.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from there.
+    """Write ``df`` once as parquet in the shared folder and read it from there.
 
-    For results that several branches of a plan read. The folder is the one the
-    cluster names; only where none is set (a local run) a folder is made.
+    For results that several branches of a plan read, so that none of them
+    computes it again, also when executors are lost.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trajlake-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/trajlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_once(name: str, source: str, build) -> DataFrame:
+    """:func:`cut` of a named table, written once per application."""
+    spark = SparkSession.active()
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _WRITTEN:
+        df = build()
+        path = f"{shared_folder(spark)}/trajlake-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        _WRITTEN[key] = (path, df.schema)
+    path, schema = _WRITTEN[key]
+    return spark.read.schema(schema).parquet(path)
