@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_stats", "q_insights")
+MODULES = ("q_stats", "q_insights", "q_motion", "q_corpus", "q_language")
 
 
 def load_queries() -> None:

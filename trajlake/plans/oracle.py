@@ -73,3 +73,27 @@ def r(expr: str, digits: int = 6) -> str:
 
 def sql(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body.strip()}"
+
+CATALOG = """
+lq AS (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1),
+po AS (SELECT o_custkey, count(*) AS total_episodes, CAST(sum(coalesce(q, 0)) AS BIGINT) AS total_frames,
+         CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS size_bytes
+       FROM orders LEFT JOIN lq ON l_orderkey = o_orderkey GROUP BY 1),
+catalog AS (
+  SELECT r_name || '/' || n_name || '/' || c_name AS path, c_custkey AS id, c_mktsegment AS robot_type,
+         coalesce(total_episodes, 0) AS total_episodes, coalesce(total_frames, 0) AS total_frames,
+         CASE WHEN c_acctbal > 9000 THEN 0.0 ELSE 30.0 END AS fps, coalesce(size_bytes, 0) AS size_bytes,
+         CASE WHEN total_episodes IS NULL THEN 'empty' WHEN coalesce(total_frames, 0) <= 0 OR c_acctbal <= 0 THEN 'incomplete'
+              ELSE 'ok' END AS status,
+         CASE WHEN c_acctbal > 2000 THEN lower(n_name) END AS task, lower(r_name) AS scene,
+         'obj_' || c_nationkey AS object, r_name AS prefix, n_name || '/' || c_name AS task_name,
+         CASE WHEN coalesce(total_frames, 0) > 0 AND c_acctbal <= 9000 THEN total_frames / 30.0 / 3600.0 ELSE 0.0 END AS hours
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  LEFT JOIN po ON o_custkey = c_custkey)"""
+
+SNAP = """
+snap AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS source, count(DISTINCT o_custkey) AS tasks,
+           count(*) AS episodes, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS frames,
+           floor(sum(CAST(round(o_totalprice) AS BIGINT)) / 30.0 / 3600.0 * 1000 + 0.5) / 1000 AS hours,
+           CASE WHEN min(o_orderstatus) <> 'F' THEN CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) END AS bytes
+         FROM orders GROUP BY 1, 2)"""

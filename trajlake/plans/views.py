@@ -15,6 +15,7 @@ from trajlake.operators.blocks import (
     positions,
     window,
 )
+from trajlake.operators.corpus import health, snapshot
 from trajlake.session import cut_once
 
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
@@ -125,3 +126,115 @@ def build_emb_frames(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("position") / 10.0).alias("timestamp"),
         "action",
     )
+
+
+def catalog(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_once("catalog", sf, lambda: build_catalog(spark, sf))
+
+
+def build_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """customers as datasets: path region/nation/customer, sizes from their orders."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("_q"))
+    per = (
+        orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+        .groupBy("o_custkey")
+        .agg(
+            F.count("*").alias("total_episodes"),
+            F.sum(F.coalesce("_q", F.lit(0.0))).cast("long").alias("total_frames"),
+            F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("size_bytes"),
+        )
+    )
+    where = table(spark, sf, "nation").join(
+        table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    c = (
+        table(spark, sf, "customer")
+        .join(where, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
+    )
+    zero = F.lit(0).cast("long")
+    has_data = F.coalesce("total_frames", zero) > 0
+    has_videos = F.col("c_acctbal") > 0
+    return c.select(
+        F.concat_ws("/", "r_name", "n_name", "c_name").alias("path"),
+        F.col("c_custkey").alias("id"),
+        F.col("c_mktsegment").alias("robot_type"),
+        F.coalesce("total_episodes", zero).alias("total_episodes"),
+        F.coalesce("total_frames", zero).alias("total_frames"),
+        F.when(F.col("c_acctbal") > 9000, F.lit(0.0)).otherwise(F.lit(30.0)).alias("fps"),
+        F.coalesce("size_bytes", zero).alias("size_bytes"),
+        has_data.alias("has_data"),
+        has_videos.alias("has_videos"),
+        health(F.col("total_episodes"), has_data, has_videos).alias("status"),
+        F.when(F.col("c_acctbal") > 2000, F.lower("n_name")).alias("task"),
+        F.lower("r_name").alias("scene"),
+        F.array(F.concat(F.lit("obj_"), F.col("c_nationkey").cast("string"))).alias("objects"),
+    )
+
+
+def day_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """orders as a growth history: a row per order day and priority."""
+    per = table(spark, sf, "orders").groupBy(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderpriority").alias("prefix")
+    ).agg(
+        F.count_distinct("o_custkey").alias("tasks"),
+        F.count("*").alias("episodes"),
+        F.sum(F.round(F.col("o_totalprice")).cast("long")).alias("frames"),
+        F.when(F.min("o_orderstatus") != "F", F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))).alias("bytes"),
+    )
+    return snapshot(per.withColumn("hours", F.col("frames") / 30 / 3600), F.col("day"))
+
+
+def pose_names(spark: SparkSession) -> DataFrame:
+    """Names for the first ten embedding dims: a tool pose and a gripper."""
+    parts = ["x", "y", "z", "r1", "r2", "r3", "r4", "r5", "r6"]
+    rows = [("embeddings", "action", i, f"left_tcp.{p}") for i, p in enumerate(parts)]
+    rows.append(("embeddings", "action", 9, "left_gripper.pos"))
+    rows.append(("embeddings", "action", 10, "right_tcp.x"))
+    return spark.createDataFrame(rows, "dataset string, feature string, dim int, name string")
+
+
+# Atom style by turn, in this order.
+STYLES = ("task_aug", "subtask", "plan", "memory", "interjection", "vqa")
+
+
+def atoms(spark: SparkSession, sf: str) -> DataFrame:
+    """conversations as language atoms: a conversation is an episode, a turn a second."""
+    style = F.element_at(F.array(*[F.lit(s) for s in STYLES]), F.pmod("turn", F.lit(6)).cast("int") + 1)
+    return table(spark, sf, "conversations").select(
+        F.lit("chats").alias("dataset"),
+        F.col("conv_id").alias("episode_index"),
+        "role",
+        F.col("text").alias("content"),
+        style.alias("style"),
+        F.col("turn").cast("double").alias("timestamp"),
+        F.when(F.pmod("turn", F.lit(4)) == 0, F.lit("top")).alias("camera"),
+        F.lit(None).cast("string").alias("tool_calls"),
+        F.col("turn").alias("order"),
+    )
+
+
+def event_segments(spark: SparkSession, sf: str, least_k: int = 0) -> DataFrame:
+    """A segment starting at every signup event; ``least_k`` leaves episodes without any."""
+    f = ev_frames(spark, sf).where(F.col("event_type") == "signup")
+    k = F.col("action")[1].cast("long")
+    return f.where(k >= least_k).select(
+        *KEYS,
+        F.lit("move").alias("skill"),
+        F.concat(F.lit("signup "), k.cast("string")).alias("instruction"),
+        F.col("position").alias("start_frame_index"),
+        F.when(k % 2 == 0, F.col("position") + 2).alias("success_frame_index"),
+        F.col("position").alias("end_frame_index"),
+        F.col("position").alias("entry"),
+    )
+
+
+def last_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Last frame per episode, ten short of the data so that starts get clamped."""
+    return ev_frames(spark, sf).groupBy(*KEYS).agg((F.count("*") - 10).alias("last_frame"))
+
+
+def event_tasks(spark: SparkSession) -> DataFrame:
+    rows = [("events", i, t) for i, t in enumerate(("click", "view", "purchase", "signup 50", "error"))]
+    return spark.createDataFrame(rows, "dataset string, task_index long, task string")
