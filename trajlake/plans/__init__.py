@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("q_stats", "q_insights", "q_motion", "q_corpus", "q_language")
+MODULES = ("q_stats", "q_insights", "q_motion", "q_corpus", "q_language", "q_checks", "q_sources")
 
 
 def load_queries() -> None:

@@ -97,3 +97,24 @@ snap AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS sou
            floor(sum(CAST(round(o_totalprice) AS BIGINT)) / 30.0 / 3600.0 * 1000 + 0.5) / 1000 AS hours,
            CASE WHEN min(o_orderstatus) <> 'F' THEN CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) END AS bytes
          FROM orders GROUP BY 1, 2)"""
+
+DIRTY = LI_LONG.replace(
+    "SELECT dataset, episode_index, position, n, 0 AS dim, q AS x FROM li\n  UNION ALL SELECT dataset, episode_index, position, n, 1, dc FROM li\n  UNION ALL SELECT dataset, episode_index, position, n, 2, tx FROM li",
+    "SELECT dataset, episode_index, position, n, 0 AS dim, CASE WHEN q = 50 AND dc = 0.1 THEN 1000 ELSE q END AS x FROM li",
+)
+
+ORD = """
+od0 AS (SELECT CAST(o_custkey AS VARCHAR) AS dataset, o_orderkey AS episode_index, o_orderstatus AS st, o_orderpriority AS pr,
+          l_quantity AS q, l_discount AS dc, l_extendedprice AS price, l_tax AS tx, l_linenumber % 3 AS task_index,
+          row_number() OVER (PARTITION BY o_orderkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice,
+                             l_quantity, l_discount, l_tax) - 1 AS position
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+oe AS (SELECT dataset, episode_index, st, pr, count(*) AS n, count(*) + CASE WHEN pr = '2-HIGH' AND st = 'O' THEN 1 ELSE 0 END AS length
+       FROM od0 GROUP BY 1, 2, 3, 4),
+oi AS (SELECT dataset, count(*) AS eps, CAST(sum(n) AS BIGINT) AS frames, any_value(c_acctbal) AS bal, any_value(c_mktsegment) AS seg,
+         min(n) AS shortest, bool_or(pr = '1-URGENT') AS has_meta
+       FROM oe JOIN customer ON CAST(c_custkey AS VARCHAR) = dataset GROUP BY 1),
+inv AS (SELECT dataset, 'data/chunk-000/file-' || CASE WHEN episode_index < 1000 THEN lpad(CAST(episode_index AS VARCHAR), 3, '0') ELSE CAST(episode_index AS VARCHAR) END || '.parquet' AS path, length * 1000 AS size FROM oe
+        UNION ALL SELECT dataset, 'videos/observation.images.top/chunk-' || lpad(CAST(episode_index // 1000 AS VARCHAR), 3, '0') || '/file-' ||
+          CASE WHEN episode_index < 1000 THEN lpad(CAST(episode_index AS VARCHAR), 3, '0') ELSE CAST(episode_index AS VARCHAR) END || '.mp4', length * 10000 FROM oe WHERE pr <> '5-LOW'
+        UNION ALL SELECT dataset, 'meta/episodes/chunk-000/file-000.parquet', 100 FROM oi WHERE has_meta)"""

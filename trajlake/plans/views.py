@@ -238,3 +238,143 @@ def last_frames(spark: SparkSession, sf: str) -> DataFrame:
 def event_tasks(spark: SparkSession) -> DataFrame:
     rows = [("events", i, t) for i, t in enumerate(("click", "view", "purchase", "signup 50", "error"))]
     return spark.createDataFrame(rows, "dataset string, task_index long, task string")
+
+
+def dirty_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem trajectories with defects: clipped and spiking actions, stuck and drifting states."""
+    f = li_frames(spark, sf)
+    q, d = F.col("action")[0], F.col("action")[1]
+    price = F.col("`observation.state`")[0]
+    return f.select(
+        *KEYS,
+        "position",
+        "frame_index",
+        "timestamp",
+        "task_index",
+        F.array(F.floor(q / 30).cast("double")).alias("action"),
+        F.array(F.when((q == 50) & (d == 0.1), F.lit(1000.0)).otherwise(q)).alias("action.spike"),
+        F.array(
+            price,
+            F.lit(7.0),
+            F.floor(F.col("position") / 40).cast("double"),
+            F.col("episode_index") + price / 1e6,
+        ).alias("observation.state"),
+    )
+
+
+def order_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return cut_once("order_frames", sf, lambda: build_order_frames(spark, sf))
+
+
+def build_order_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """orders as episodes of their customer's dataset, a frame per line; some lack the state column."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    rows = (
+        table(spark, sf, "lineitem")
+        .join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select(
+            F.col("o_custkey").cast("string").alias("dataset"),
+            F.col("o_orderkey").alias("episode_index"),
+            micros("l_shipdate").alias("_us"),
+            "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
+            "o_orderstatus",
+        )
+    )
+    return positions(rows, LI_ORDER, F.col("_us")).select(
+        *KEYS,
+        "position",
+        F.col("position").alias("frame_index"),
+        (F.col("position") / 10.0).alias("timestamp"),
+        F.pmod("l_linenumber", F.lit(3)).cast("long").alias("task_index"),
+        F.array("l_quantity", "l_discount").alias("action"),
+        F.when(F.col("o_orderstatus") != "P", F.array("l_extendedprice", "l_tax")).alias("observation.state"),
+    )
+
+
+def order_info_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """An info document per customer with orders, as JSON text; some are wrong on purpose."""
+    per = order_frames(spark, sf).groupBy("dataset").agg(
+        F.count_distinct("episode_index").alias("eps"), F.count("*").alias("frames")
+    )
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("dataset"), "c_acctbal", "c_mktsegment")
+    rows = per.join(c, "dataset")
+    bal = F.col("c_acctbal")
+    feature = "struct<dtype:string,shape:array<bigint>,names:array<string>>"
+
+    def spec(dtype, shape, *names):
+        listed = F.array(*[F.lit(n) for n in names]) if names else F.lit(None)
+        return F.struct(
+            F.lit(dtype).alias("dtype"), F.array(*[F.lit(s) for s in shape]).alias("shape"), listed.alias("names")
+        ).cast(feature)
+
+    features = F.map_from_entries(
+        F.array_compact(
+            F.array(
+                F.struct(F.lit("action"), spec("float32", [2], "joint", "grip")),
+                F.struct(F.lit("observation.state"), spec("float32", [2])),
+                F.when(bal > 0, F.struct(F.lit("observation.images.top"), spec("video", [480, 640, 3]))),
+                F.when(bal > 5000, F.struct(F.lit("observation.force"), spec("float32", [6]))),
+            )
+        )
+    )
+    document = F.struct(
+        F.when(bal > 8000, F.lit("v1.9")).otherwise(F.lit("v3.0")).alias("codebase_version"),
+        F.when(bal < -500, F.lit(0)).otherwise(F.lit(10)).alias("fps"),
+        F.when(F.col("c_mktsegment") != "BUILDING", F.col("eps") + F.when(bal < 0, 1).otherwise(0)).alias("total_episodes"),
+        (F.col("frames") + F.when(bal > 9500, 1).otherwise(0)).alias("total_frames"),
+        F.lit(3).alias("total_tasks"),
+        features.alias("features"),
+        F.when(bal > 9000, F.lit("/abs/data.parquet"))
+        .otherwise(F.lit("data/chunk-{chunk_index:03d}/file-{file_index:03d}.parquet")).alias("data_path"),
+        F.lit("videos/{video_key}/chunk-{chunk_index:03d}/file-{file_index:03d}.mp4").alias("video_path"),
+        F.lower("c_mktsegment").alias("robot_type"),
+    )
+    return rows.select("dataset", F.to_json(document).alias("text"))
+
+
+def order_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Episode metadata of the order datasets; the length is off for some."""
+    per = order_frames(spark, sf).groupBy(*KEYS).agg(F.count("*").alias("n"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("episode_index"), "o_orderpriority", "o_orderstatus")
+    wrong = (F.col("o_orderpriority") == "2-HIGH") & (F.col("o_orderstatus") == "O")
+    return per.join(o, "episode_index").select(
+        *KEYS, (F.col("n") + F.when(wrong, 1).otherwise(0)).alias("length"), "o_orderpriority"
+    )
+
+
+def order_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of the order datasets: data and episode metadata, and videos for most orders."""
+    e = order_episodes(spark, sf)
+    number = F.lpad(F.col("episode_index").cast("string"), 3, "0")
+    number = F.when(F.length(F.col("episode_index").cast("string")) >= 3, F.col("episode_index").cast("string")).otherwise(number)
+    chunk = F.lpad(F.floor(F.col("episode_index") / 1000).cast("string"), 3, "0")
+    size = F.col("length") * 1000
+    data = e.select("dataset", F.concat(F.lit("data/chunk-000/file-"), number, F.lit(".parquet")).alias("path"), size.alias("size"))
+    video = e.where("o_orderpriority != '5-LOW'").select(
+        "dataset",
+        F.concat(F.lit("videos/observation.images.top/chunk-"), chunk, F.lit("/file-"), number, F.lit(".mp4")).alias("path"),
+        (size * 10).alias("size"),
+    )
+    meta = e.where("o_orderpriority = '1-URGENT'").select(
+        "dataset", F.lit("meta/episodes/chunk-000/file-000.parquet").alias("path"), F.lit(100).cast("long").alias("size")
+    ).distinct()
+    out = data.unionByName(video).unionByName(meta)
+    return out.withColumns({"readable": F.col("size") != 3000, "symlink": F.col("size") == 40000})
+
+
+def sidecar_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """conversations as annotation documents: one JSON text per message."""
+    c = table(spark, sf, "conversations")
+    atom = F.struct(
+        F.when(F.col("turn") % 5 != 4, F.col("role")).alias("role"),
+        F.col("text").alias("content"),
+        F.when(F.col("turn") % 2 == 0, F.lit("memory")).alias("style"),
+        F.col("turn").alias("timestamp"),
+        F.lit("").alias("camera"),
+        F.array(F.struct(F.lit("function").alias("type"))).alias("tool_calls"),
+    )
+    doc = F.struct(
+        F.lit(1).alias("version"),
+        F.create_map(F.col("conv_id").cast("string"), F.struct(F.array(atom, atom).alias("atoms"))).alias("episodes"),
+    )
+    return c.select(F.concat_ws("-", F.lit("m"), "conv_id", "turn").alias("dataset"), F.to_json(doc).alias("text"))

@@ -98,9 +98,9 @@ def read_frames(
         return frames.withColumn("position", F.col("frame_index").cast("long")).drop("_row").withColumnRenamed("_path", "file")
     # Files are in order of their chunk and file numbers; a file outside that
     # scheme holds one episode, whose rows are in order by themselves.
-    chunk = F.regexp_extract("_path", r"chunk-(\d+)/file-\d+\.parquet$", 1).try_cast("long")
-    file = F.regexp_extract("_path", r"chunk-\d+/file-(\d+)\.parquet$", 1).try_cast("long")
-    frames = frames.withColumn("_file", F.coalesce(chunk * 1_000_000 + file, F.lit(-1)))
+    chunk = F.regexp_extract("_path", r"chunk-(\d+)/", 1).try_cast("long")
+    file = F.regexp_extract("_path", r"(?:file|part)-(\d+)[^/]*\.parquet$", 1).try_cast("long")
+    frames = frames.withColumn("_file", F.coalesce(F.coalesce(chunk, F.lit(0)) * 1_000_000 + file, F.lit(-1)))
     along = F.when(F.col("_file") >= 0, F.col("_file") * 1e9 + F.col("_row")).when(
         named != "", F.col("_row").cast("double")
     ).otherwise(F.lit(0.0))
