@@ -10,11 +10,12 @@ from trajlake.operators import locate, segments, series
 from trajlake.operators import stats as stats_ops
 from trajlake.operators.blocks import KEYS, positions
 from trajlake.operators.corpus import inventory_totals
-from trajlake.plans.oracle import EV, LI, LI_LONG, ORD, r, sql
+from trajlake.plans.oracle import CATALOG, EV, LI, LI_LONG, ORD, r, sql
 from trajlake.plans.q_language import VOCAB, vocab
 from trajlake.plans.q_stats import rounded
 from trajlake.plans.registry import query
 from trajlake.plans.views import (
+    catalog,
     emb_frames,
     ev_frames,
     event_segments,
@@ -60,6 +61,58 @@ def frame_scan(spark, sf):
     )
 
 
+@query(
+    "s03_episode_metadata",
+    sql(LI, "SELECT dataset, episode_index, count(*) AS length FROM li GROUP BY 1, 2"),
+)
+def episode_metadata(spark, sf):
+    # Episode tables of three datasets, each in several files.
+    root = fresh_path(spark)
+    lengths = cut(li_frames(spark, sf).groupBy(*KEYS).agg(F.count("*").alias("length")))
+    for name in ("A", "N", "R"):
+        own = lengths.where(F.col("dataset") == name).drop("dataset")
+        own.repartitionByRange("episode_index").write.parquet(f"{root}/{name}/meta/episodes/chunk-000")
+    return readers.normalise_episodes(readers.read_episodes(spark, root)).select(*KEYS, "length")
+
+
+@query(
+    "s04_episode_lines",
+    """SELECT 'c' || o_custkey AS dataset, CAST(o_orderkey AS VARCHAR) AS episode_index, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS length
+FROM orders WHERE o_orderstatus <> 'P'""",
+)
+def episode_lines(spark, sf):
+    # One line per order; the lines of one status are blank or not an object.
+    o = table(spark, sf, "orders")
+    record = F.to_json(F.struct(F.col("o_orderkey").alias("episode_index"), F.floor("o_totalprice").alias("length")))
+    bad = F.when(F.col("o_orderkey") % 2 == 0, F.lit("  ")).otherwise(F.lit("[1]"))
+    line = F.when(F.col("o_orderstatus") == "P", bad).otherwise(F.concat(record, F.lit(" ")))
+    lines = o.select(F.concat(F.lit("c"), F.col("o_custkey")).alias("dataset"), line.alias("line"))
+    return readers.parse_episode_lines(lines).select("dataset", "episode_index", "length")
+
+
+@query(
+    "s09_catalog_discovery",
+    sql(
+        CATALOG,
+        """SELECT path AS dataset FROM catalog WHERE total_episodes > 0 AND split_part(path, '/', 1) || '/' || split_part(path, '/', 2) NOT IN
+  (SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM catalog WHERE total_episodes > 22) AND fps > 0
+UNION SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM catalog WHERE total_episodes > 22""",
+    ),
+)
+def catalog_discovery(spark, sf):
+    # Info documents at customer folders; a busy customer makes its nation's folder a
+    # dataset, which hides those below. Some lie in an ignored folder or too deep.
+    c = catalog(spark, sf).where("total_episodes > 0")
+    nation = F.substring_index("path", "/", 2)
+    hidden = F.concat(nation, F.lit("/.cache"))
+    deep = F.concat("path", F.lit("/extra"))
+    version = F.lit("v3.0").alias("codebase_version")
+    infos = c.select(F.when(F.col("fps") > 0, F.col("path")).otherwise(hidden).alias("dataset"), version)
+    infos = infos.unionByName(c.select(deep.alias("dataset"), version))
+    busy = c.where("total_episodes > 22").select(nation.alias("dataset"), version).distinct()
+    return readers.top_datasets(infos.unionByName(busy)).select("dataset").distinct()
+
+
 @query(
     "s05_episode_rows",
     sql(
@@ -105,7 +158,7 @@ def episode_rows_raw(spark, sf):
     sql(
         ORD,
         """SELECT dataset, episode_index, camera, CASE WHEN st = 'F' THEN 0 ELSE length END AS chunk, CAST(3 AS BIGINT) AS file,
-  0.0 AS start, CASE WHEN st = 'F' THEN 30.0 ELSE length / 10.0 END AS "end", CASE WHEN st = 'F' THEN 30.0 ELSE length / 10.0 END AS duration
+  CAST(0 AS DOUBLE) AS start, CASE WHEN st = 'F' THEN 30.0 ELSE length / 10.0 END AS "end", CASE WHEN st = 'F' THEN 30.0 ELSE length / 10.0 END AS duration
 FROM oe CROSS JOIN (SELECT unnest(['top', 'wrist']) AS camera)""",
     ),
 )
@@ -120,7 +173,7 @@ def episode_cameras(spark, sf):
         + """, rk AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY episode_index) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS m FROM oe),
 pk AS (SELECT DISTINCT dataset, CAST(floor(g * (m - 1) / 9.0 + 0.5) AS BIGINT) AS i FROM rk, (SELECT unnest(range(0, 10)) AS g) WHERE m > 10)""",
         """SELECT dataset, episode_index, 'videos/top/chunk-' || lpad(CAST(CASE WHEN st = 'F' THEN 0 ELSE length END AS VARCHAR), 3, '0') || '/file-003.mp4' AS path,
-  0.0 AS first_time, greatest(0, CASE WHEN st = 'F' THEN 30.0 ELSE length / 10.0 END - 0.05) AS last_time
+  CAST(0 AS DOUBLE) AS first_time, greatest(0, CASE WHEN st = 'F' THEN 30.0 ELSE length / 10.0 END - 0.05) AS last_time
 FROM rk LEFT JOIN pk USING (dataset, i) WHERE m <= 10 OR pk.i IS NOT NULL""",
     ),
 )
@@ -133,7 +186,7 @@ def frame_overview(spark, sf):
     "s06_dataset_info",
     sql(
         ORD,
-        """SELECT dataset, CASE WHEN bal > 8000 THEN 'v1.9' ELSE 'v3.0' END AS codebase_version, CASE WHEN bal < -500 THEN 0.0 ELSE 10.0 END AS fps,
+        """SELECT dataset, CASE WHEN bal > 8000 THEN 'v1.9' ELSE 'v3.0' END AS codebase_version, CAST(CASE WHEN bal < -500 THEN 0 ELSE 10 END AS DOUBLE) AS fps,
   CASE WHEN seg <> 'BUILDING' THEN eps + CASE WHEN bal < 0 THEN 1 ELSE 0 END END AS total_episodes, CAST(1000 AS BIGINT) AS chunks_size,
   CAST(2 + CASE WHEN bal > 0 THEN 1 ELSE 0 END + CASE WHEN bal > 5000 THEN 1 ELSE 0 END AS BIGINT) AS features FROM oi""",
     ),
@@ -222,7 +275,7 @@ def table_profile(spark, sf):
     "f25_format_version",
     sql(
         ORD,
-        """SELECT dataset, CASE WHEN bal > 8000 THEN CASE WHEN has_meta THEN 'v3' ELSE 'v3' END ELSE 'v3' END AS format FROM oi""",
+        "SELECT dataset, 'v3' AS format FROM oi",
     ),
 )
 def format_version(spark, sf):

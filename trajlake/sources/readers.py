@@ -115,18 +115,14 @@ def read_episodes(spark: SparkSession, root: str) -> DataFrame:
 
 def read_episodes_jsonl(spark: SparkSession, root: str) -> DataFrame:
     """Episode rows from line-JSON metadata; blank and non-object lines are skipped."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "episodes.jsonl")
-        .text(root)
-        .select(relative(root, F.col("_metadata.file_path")).alias("_path"), F.trim("value").alias("_line"))
-        .where(F.col("_line").startswith("{"))
-    )
+    return parse_episode_lines(read_lines(spark, root, "episodes.jsonl"))
+
+
+def parse_episode_lines(lines: DataFrame) -> DataFrame:
+    """Episode rows of ``(dataset, line)`` rows."""
     schema = "episode_index string, length string, num_frames string, tasks array<string>"
-    row = F.from_json("_line", schema)
-    return lines.select(dataset_of(F.col("_path"), "meta/").alias("dataset"), row.alias("_r")).select(
-        "dataset", "_r.*"
-    )
+    row = F.from_json(F.trim("line"), schema)
+    return lines.where(F.trim("line").startswith("{")).select("dataset", row.alias("_r")).select("dataset", "_r.*")
 
 
 # Fixed layout: what the columns "0".."9" of an old episode table hold.
@@ -386,9 +382,12 @@ def discover(spark: SparkSession, root: str, depth: int = SCAN_DEPTH) -> DataFra
     Dot folders and ignored folders are skipped, and nothing below a dataset
     counts as another one.
     """
-    infos = read_infos(spark, root).where(
-        F.col("codebase_version").isNotNull() & (F.col("dataset") != ".")
-    )
+    return top_datasets(read_infos(spark, root), depth)
+
+
+def top_datasets(infos: DataFrame, depth: int = SCAN_DEPTH) -> DataFrame:
+    """The info rows that count as datasets by their place (see :func:`discover`)."""
+    infos = infos.where(F.col("codebase_version").isNotNull() & (F.col("dataset") != "."))
     parts = F.split("dataset", "/")
     hidden = F.exists(parts, lambda p: p.startswith(".") | p.isin(*IGNORED))
     infos = infos.where((F.size(parts) <= depth) & ~hidden)
