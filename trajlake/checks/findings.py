@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.functions.vectors import field_type, is_numeric_cell
+from trajlake.operators import stats
 from trajlake.operators.blocks import KEYS, episode_lengths
+from trajlake.session import cut
 from trajlake.sources.readers import BOOKKEEPING
 
 SEVERITIES = ("PASS", "WARN", "FAIL")
@@ -22,12 +24,30 @@ class Recording:
     features: DataFrame | None = None
     episodes: DataFrame | None = None
     tasks: DataFrame | None = None
-    stats: DataFrame | None = None
+    stored_stats: DataFrame | None = None
     inventory: DataFrame | None = None
     probe: DataFrame | None = None
     names: DataFrame | None = None
     partial: bool = False
     thresholds: dict = field(default_factory=dict)
+    _shared: dict = field(default_factory=dict, repr=False)
+
+    def _once(self, key: tuple, build):
+        if key not in self._shared:
+            self._shared[key] = build()
+        return self._shared[key]
+
+    def matrix(self, column: str) -> stats.Matrix:
+        """The column's rows, with its episode table found once for all checks."""
+        return self._once(("matrix", column), lambda: stats.prepare(self.frames, column))
+
+    def summary(self, column: str) -> DataFrame:
+        """The column's summary, computed once for all checks."""
+        return self._once(("summary", column), lambda: cut(stats.column_summary(self.matrix(column), column)))
+
+    def scales(self, column: str) -> DataFrame:
+        """The column's step std, computed once for all checks."""
+        return self._once(("scales", column), lambda: cut(stats.step_scales(self.matrix(column), column)))
 
     def lengths(self) -> DataFrame:
         return episode_lengths(self.frames)

@@ -6,10 +6,14 @@ without a vector have no place in these statistics: where a column has such
 rows, number the others with :func:`present` first.
 """
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlake.functions.numbers import above, or_one, round_half_up
+from trajlake.functions.numbers import or_one, round_half_up
 from trajlake.functions.vectors import fit, quoted
 from trajlake.operators.blocks import KEYS, blocked, core, exact_ranks, positions, window
 
@@ -276,47 +280,66 @@ def autocorrelation(frames: DataFrame, max_lag: int = MAX_ACF_LAG, column: str =
         after=max_lag,
         episodes=episodes.join(by_dim(means, KEYS, m=F.col("m")), KEYS),
     )
-    long = near.withColumn("v", fit(F.col("v"), F.col("dims"))).select(
-        *KEYS, "_block", "_home", "position", F.posexplode(F.arrays_zip("v", "m")).alias("dim", "_z")
-    )
-    x = F.coalesce(F.col("_z.v"), F.lit(0.0))
-    long = long.select(
-        *KEYS, "_block", "_home", "position", "dim", x.alias("_x"), (x - F.col("_z.m")).alias("_c")
-    )
-    ahead = window("dim")
-    products = long.select(
+    vectors = near.select(
         *KEYS,
         "_block",
-        "_home",
-        "dim",
-        "_x",
-        (F.col("_c") * F.col("_c")).alias("_l0"),
-        *[(F.col("_c") * F.lead("_c", k).over(ahead)).alias(f"_l{k}") for k in range(1, max_lag + 1)],
-    ).where(core())
-    sums = products.groupBy(*KEYS, "dim").agg(
-        F.min("_x").alias("_lo"),
-        F.max("_x").alias("_hi"),
-        *[F.sum(f"_l{k}").alias(f"_l{k}") for k in range(max_lag + 1)],
-    )
-    varying = (F.col("_lo") < F.col("_hi")) & (F.col("_l0") > 0)
-    ratios = F.array(*[F.col(f"_l{k}") for k in range(1, max_lag + 1)])
+        core().alias("_own"),
+        "position",
+        F.transform(fit(F.col("v"), F.col("dims")), lambda x: F.coalesce(x, F.lit(0.0))).alias("v"),
+        "m",
+    )
+    sums = (
+        vectors.groupBy(*KEYS, "_block")
+        .applyInPandas(
+            lag_products(max_lag),
+            "dataset string, episode_index long, dim int, lag int, total double, lo double, hi double",
+        )
+        .groupBy(*KEYS, "dim", "lag")
+        .agg(F.sum("total").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    )
+    base = sums.where("lag = 0").select(*KEYS, "dim", F.col("total").alias("_l0"))
+    varying = (F.col("lo") < F.col("hi")) & (F.col("_l0") > 0)
+    ratio = F.when(varying, F.try_divide(F.col("total"), F.col("_l0"))).otherwise(F.lit(0.0))
     return (
-        sums.select("dataset", "dim", varying.alias("_varying"), "_l0", F.posexplode(ratios).alias("lag", "_s"))
-        .withColumn("lag", F.col("lag") + 1)
+        sums.where("lag > 0")
+        .join(base, [*KEYS, "dim"])
         .groupBy("dataset", "dim", "lag")
-        .agg(
-            F.sum(
-                F.when(
-                    F.col("_varying"), F.try_divide(F.coalesce("_s", F.lit(0.0)), F.col("_l0"))
-                ).otherwise(F.lit(0.0))
-            ).alias("_sum")
-        )
+        .agg(F.sum(ratio).alias("_sum"))
         .join(limit, "dataset")
         .where(F.col("lag") <= F.col("lags"))
         .select("dataset", "dim", "lag", (F.col("_sum") / F.col("episodes")).alias("acf"))
     )
 
 
+def lag_products(max_lag: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Sums of products of one block's centred rows with the rows 0..max_lag later."""
+
+    def products(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("position")
+        own = int(block["_own"].sum())  # the copied rows come after the block's own
+        values = np.stack(block["v"].to_numpy())
+        centred = values - block["m"].iloc[0]
+        lags, dims = np.arange(max_lag + 1), values.shape[1]
+        total = np.zeros((len(lags), dims))
+        for k in lags:
+            m = min(own, len(centred) - k)
+            if m > 0:
+                total[k] = np.einsum("td,td->d", centred[:m], centred[k : k + m])
+        return pd.DataFrame(
+            {
+                "dataset": block["dataset"].iloc[0],
+                "episode_index": block["episode_index"].iloc[0],
+                "dim": np.tile(np.arange(dims, dtype="int32"), len(lags)),
+                "lag": np.repeat(lags.astype("int32"), dims),
+                "total": total.ravel(),
+                "lo": np.tile(values[:own].min(axis=0), len(lags)),
+                "hi": np.tile(values[:own].max(axis=0), len(lags)),
+            }
+        )
+
+    return products
+
+
 def suggested_chunk(acf: DataFrame) -> DataFrame:
     """Upper median over dims of the first lag whose autocorrelation is below 0.5."""
     first = (
@@ -397,82 +420,75 @@ def cross_correlation(
     values = near.select(
         *KEYS,
         "_block",
-        "_home",
-        "position",
-        "n",
-        F.posexplode(
-            F.arrays_zip(
-                F.transform("_pairs", lambda p: at(F.col("_a"), p["action_dim"])).alias("a"),
-                F.transform("_pairs", lambda p: at(F.col("_s"), p["state_dim"])).alias("s"),
-                F.col("_am").alias("am"),
-                F.col("_sm").alias("sm"),
-            )
-        ).alias("pair", "_z"),
-    ).select(
-        *KEYS,
-        "_block",
-        "_home",
+        core().alias("_own"),
         "position",
         "n",
-        "pair",
-        F.col("_z")["a"].alias("a"),
-        F.col("_z")["s"].alias("s"),
-        F.col("_z")["am"].alias("am"),
-        F.col("_z")["sm"].alias("sm"),
-    )
-    w = window("pair")
-    moved = values.select(
-        *KEYS,
-        "_block",
-        "_home",
-        "position",
-        "n",
-        "pair",
-        (F.col("a") - F.lag("a").over(w) - F.col("am")).alias("a"),
-        (F.col("s") - F.lag("s").over(w) - F.col("sm")).alias("s"),
+        F.transform("_pairs", lambda p: at(F.col("_a"), p["action_dim"])).alias("a"),
+        F.transform("_pairs", lambda p: at(F.col("_s"), p["state_dim"])).alias("s"),
+        "_am",
+        "_sm",
+    )
+    long = (
+        values.groupBy(*KEYS, "_block")
+        .applyInPandas(
+            step_products(max_lag),
+            "dataset string, episode_index long, n long, pair int, lag int, xy double, xx double, yy double",
+        )
+        .groupBy(*KEYS, "pair", "lag")
+        .agg(
+            F.max("n").alias("n"),
+            F.sum("xy").alias("x"),
+            F.sqrt(F.sum("xx") * F.sum("yy")).alias("d"),
+        )
     )
-    lags = list(range(-max_lag, max_lag + 1))
-    shifted = moved.select(
-        *KEYS,
-        "_block",
-        "_home",
-        "n",
-        "pair",
-        "a",
-        *[F.lead("s", k).over(w).alias(f"_s{i}") for i, k in enumerate(lags)],
-    ).where(core() & F.col("a").isNotNull())
-    totals = []
-    for i in range(len(lags)):
-        s = F.col(f"_s{i}")
-        totals += [
-            F.sum(F.col("a") * s).alias(f"_x{i}"),
-            F.sum(F.when(s.isNotNull(), F.col("a") * F.col("a"))).alias(f"_a{i}"),
-            F.sum(s * s).alias(f"_v{i}"),
-        ]
-    sums = shifted.groupBy(*KEYS, "pair").agg(F.max("n").alias("n"), *totals)
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("lag"),
-                F.col(f"_x{i}").alias("x"),
-                F.sqrt(F.col(f"_a{i}") * F.col(f"_v{i}")).alias("d"),
-            )
-            for i, k in enumerate(lags)
-        ]
-    )
-    long = sums.select("dataset", "n", "pair", F.explode(cells).alias("_c"))
     allowed = F.lit(max_lag)
     if quarter_limit:
         allowed = F.least(allowed, F.floor(F.col("n") / 4))
         long = long.where(allowed >= 2)
-    r = F.when(F.col("_c.d") > 0, F.col("_c.x") / F.col("_c.d"))
+    r = F.when(F.col("d") > 0, F.col("x") / F.col("d"))
     return (
-        long.where(F.abs("_c.lag") <= allowed)
-        .groupBy("dataset", "pair", F.col("_c.lag").alias("lag"))
+        long.where(F.abs("lag") <= allowed)
+        .groupBy("dataset", "pair", "lag")
         .agg(F.coalesce(F.avg(r), F.lit(0.0)).alias("correlation"))
     )
 
 
+def step_products(max_lag: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Sums over one block's steps with the state steps -max_lag..max_lag away.
+
+    A lag only counts the steps that have a partner, in the squares as well.
+    """
+
+    def products(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("position")
+        own = block["_own"].to_numpy(bool)[1:]  # whether the row a step ends on is the block's own
+        x = np.diff(np.stack(block["a"].to_numpy()), axis=0) - block["_am"].iloc[0]
+        y = np.diff(np.stack(block["s"].to_numpy()), axis=0) - block["_sm"].iloc[0]
+        lags = np.arange(-max_lag, max_lag + 1)
+        pairs = len(block["_am"].iloc[0])
+        out = np.zeros((3, len(lags), pairs))
+        at = np.flatnonzero(own)
+        for i, k in enumerate(lags):
+            here = at[(at + k >= 0) & (at + k < len(y))]
+            if len(here):
+                a, s = x[here], y[here + k]
+                out[:, i] = (a * s).sum(0), (a * a).sum(0), (s * s).sum(0)
+        return pd.DataFrame(
+            {
+                "dataset": block["dataset"].iloc[0],
+                "episode_index": block["episode_index"].iloc[0],
+                "n": block["n"].iloc[0],
+                "pair": np.tile(np.arange(pairs, dtype="int32"), len(lags)),
+                "lag": np.repeat(lags.astype("int32"), pairs),
+                "xy": out[0].ravel(),
+                "xx": out[1].ravel(),
+                "yy": out[2].ravel(),
+            }
+        )
+
+    return products
+
+
 def alignment_envelope(correlation: DataFrame) -> DataFrame:
     """Max, mean and min over pairs at every lag."""
     return correlation.groupBy("dataset", "lag").agg(

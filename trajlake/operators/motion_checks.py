@@ -5,11 +5,19 @@ from pyspark.sql import functions as F
 
 from trajlake.functions.numbers import above, finite
 from trajlake.functions.vectors import all_finite
-from trajlake.operators.blocks import KEYS, blocked, core, episode_lengths, window
-from trajlake.operators.stats import difference, matrix, step_scales, with_previous
-
-
-def longest_frozen_run(frames: DataFrame, column: str) -> DataFrame:
+from trajlake.operators.blocks import (
+    KEYS,
+    blocked,
+    core,
+    episode_lengths,
+    shifted,
+    spread,
+    window,
+)
+from trajlake.operators.stats import Matrix, difference, matrix, step_scales, with_previous
+
+
+def longest_frozen_run(frames: DataFrame | Matrix, column: str) -> DataFrame:
     """Longest run of steps that leave the vector unchanged, and its share of the rows.
 
     Only rows that differ from the one before are kept; a run is the gap
@@ -47,14 +55,13 @@ def longest_frozen_run(frames: DataFrame, column: str) -> DataFrame:
     )
 
 
-def scaled_steps(frames: DataFrame, column: str, *extra: str) -> DataFrame:
-    """Each step's ``z``: absolute difference per dim over the dataset's step std."""
-    rows, episodes = matrix(frames, column)
-    if extra:
-        from trajlake.functions.vectors import vector
+def scaled_steps(frames: DataFrame | Matrix, column: str, scales: DataFrame | None = None) -> DataFrame:
+    """Each step's ``z``: absolute difference per dim over the dataset's step std.
 
-        rows = frames.select(*KEYS, "position", vector(frames, column).alias("v"), *extra)
-    episodes = episodes.join(step_scales(frames, column), "dataset")
+    ``scales`` is the result of :func:`step_scales` where that is at hand.
+    """
+    rows, episodes = matrix(frames, column)
+    episodes = episodes.join(step_scales(frames, column) if scales is None else scales, "dataset")
     near = blocked(rows, before=1, episodes=episodes)
     near = near.withColumn("p", F.lag("v").over(window())).where(core() & F.col("p").isNotNull())
     z = F.zip_with(difference(F.col("v"), F.col("p")), F.col("scale"), lambda d, s: F.abs(d / s))
@@ -65,24 +72,26 @@ def total(values):
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def mean_jumps(frames: DataFrame, column: str, threshold: float = 8.0) -> DataFrame:
+def mean_jumps(
+    frames: DataFrame | Matrix, column: str, threshold: float = 8.0, scales: DataFrame | None = None
+) -> DataFrame:
     """Steps whose z averaged over the dims exceeds the threshold, per episode of >=3 rows."""
-    steps = scaled_steps(frames, column).where(F.col("n") >= 3)
+    steps = scaled_steps(frames, column, scales).where(F.col("n") >= 3)
     mean_z = total(F.col("z")) / F.size("z")
     return steps.groupBy(*KEYS).agg(F.count_if(above(mean_z, threshold)).alias("jumps"))
 
 
 def dimension_jumps(
-    frames: DataFrame,
+    frames: DataFrame | Matrix,
     column: str,
     threshold: float = 30.0,
     extreme: float = 40.0,
     min_dims: int = 2,
     report: float = 8.0,
-    *extra: str,
+    scales: DataFrame | None = None,
 ) -> DataFrame:
     """Steps where several dims jump together, or one jumps extremely."""
-    steps = scaled_steps(frames, column, *extra)
+    steps = scaled_steps(frames, column, scales)
     over = F.size(F.filter("z", lambda x: above(x, threshold)))
     steps = steps.where(all_finite(F.col("v")) & all_finite(F.col("p")))
     steps = steps.withColumn("max_z", F.array_max("z")).withColumn("dims_over", over)
@@ -92,7 +101,7 @@ def dimension_jumps(
         lambda e: above(e["z"], report),
     )
     return hits.select(
-        *KEYS, "position", "max_z", "dims_over", reported.alias("reported"), *extra
+        *KEYS, "position", "max_z", "dims_over", reported.alias("reported")
     )
 
 
@@ -112,7 +121,7 @@ def top_per_group(
     )
 
 
-def stuck_share(frames: DataFrame, column: str) -> DataFrame:
+def stuck_share(frames: DataFrame | Matrix, column: str) -> DataFrame:
     """Per (episode, dim): share of steps that leave the dim unchanged (>=5 rows, varying dims)."""
     # Zipping with a null array would lose the first row, so it gets an empty one.
     none = F.array().cast("array<double>")
@@ -136,9 +145,9 @@ def stuck_share(frames: DataFrame, column: str) -> DataFrame:
     )
 
 
-def stuck_dims(frames: DataFrame, column: str) -> DataFrame:
+def stuck_dims(frames: DataFrame, column: str, prepared: Matrix | None = None) -> DataFrame:
     """Dims unchanged in >80% of the steps, in >80% of the dataset's episodes."""
-    stuck = stuck_share(frames, column).where((F.col("share") > 0.8) & (F.col("n") - 1 > 10))
+    stuck = stuck_share(prepared or frames, column).where((F.col("share") > 0.8) & (F.col("n") - 1 > 10))
     episodes = frames.groupBy("dataset").agg(F.count_distinct("episode_index").alias("episodes"))
     return (
         stuck.groupBy("dataset", "dim")
@@ -164,8 +173,6 @@ def clock_issues(frames: DataFrame, rates: DataFrame, gap: float = 1.5, drift: f
     steps = clock_steps(frames).where(F.col("dt").isNotNull())
     episodes = episode_lengths(frames).join(rates.where(F.col("fps") > 0), "dataset")
     interval = 1.0 / F.col("fps")
-    from trajlake.operators.blocks import spread
-
     timed = steps.drop("_home").join(spread(episodes), [*KEYS, "_block"])
     positive = F.when(above(F.col("dt"), 0), F.col("dt"))
     return (
@@ -217,8 +224,6 @@ def global_index_breaks(frames: DataFrame) -> DataFrame:
         F.min_by("_first", "_block").alias("_first"),
         F.max_by("_last", "_block").alias("_last"),
     )
-    from trajlake.operators.blocks import shifted
-
     chain = shifted(
         episodes.withColumn("_slot", F.floor(F.col("episode_index") / 65536)),
         F.col("_last"),
@@ -241,8 +246,6 @@ def missing_episodes(episodes: DataFrame) -> DataFrame:
 
     Gaps are found between neighbouring ids, so only missing ids are produced.
     """
-    from trajlake.operators.blocks import shifted
-
     ids = episodes.select(*KEYS).distinct().withColumn("_slot", F.floor(F.col("episode_index") / 65536))
     gaps = shifted(ids, F.col("episode_index"), ["episode_index"], "_slot", ["dataset"], "_next", ahead=True)
     return gaps.where(F.col("_next") > F.col("episode_index") + 1).select(
@@ -251,7 +254,7 @@ def missing_episodes(episodes: DataFrame) -> DataFrame:
     )
 
 
-def bad_values(frames: DataFrame, column: str) -> DataFrame:
+def bad_values(frames: DataFrame | Matrix, column: str) -> DataFrame:
     """Per episode: NaN and infinite values in a usable column."""
     rows, episodes = matrix(frames, column)
     near = blocked(rows, episodes=episodes)

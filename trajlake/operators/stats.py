@@ -1,19 +1,40 @@
 """Per-dimension statistics of vector columns, over whole datasets."""
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.functions.numbers import above, finite, or_one, round_half_up
 from trajlake.functions.vectors import all_finite, is_usable, vector
 from trajlake.operators.blocks import KEYS, blocked, core, window
+from trajlake.session import cut
+
+
+class Matrix(NamedTuple):
+    """Vector rows and the episodes in which they form a matrix."""
+
+    rows: DataFrame
+    episodes: DataFrame
+
+
+def prepare(frames: DataFrame, column: str) -> Matrix:
+    """A matrix whose episode table is found once, for use by several functions.
+
+    Every function below takes it in place of the frames.
+    """
+    rows, episodes = matrix(frames, column)
+    return Matrix(rows, cut(episodes))
 
 
-def matrix(frames: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+def matrix(frames: DataFrame | Matrix, column: str) -> Matrix:
     """Rows ``(keys, position, v)`` and the episodes whose rows form a matrix.
 
     An episode counts only when every cell is a non-empty numeric vector of one
     width; joining the rows to the returned episodes applies that rule.
     """
+    if isinstance(frames, Matrix):
+        return frames
     rows = frames.select(*KEYS, "position", vector(frames, column).alias("v"))
     episodes = (
         rows.groupBy(*KEYS)
@@ -26,7 +47,7 @@ def matrix(frames: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
         .where(F.col("_usable") & (F.col("width") == F.col("_widest")))
         .drop("_usable", "_widest")
     )
-    return rows, episodes
+    return Matrix(rows, episodes)
 
 
 def same_width_datasets(episodes: DataFrame) -> DataFrame:
@@ -64,7 +85,7 @@ def summarize(vectors: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("m2", variance * F.col("count")).withColumn("std", F.sqrt(variance)).drop("_var")
 
 
-def column_summary(frames: DataFrame, column: str, episodes_kept: DataFrame | None = None) -> DataFrame:
+def column_summary(frames: DataFrame | Matrix, column: str, episodes_kept: DataFrame | None = None) -> DataFrame:
     """Summary per (dataset, dim); optionally over a list of episodes only."""
     rows, episodes = matrix(frames, column)
     episodes = episodes.join(same_width_datasets(episodes), "dataset")
@@ -86,7 +107,7 @@ def difference(v: Column, p: Column) -> Column:
     return F.zip_with(v, p, lambda a, b: a - b)
 
 
-def diff_summary(frames: DataFrame, column: str) -> DataFrame:
+def diff_summary(frames: DataFrame | Matrix, column: str) -> DataFrame:
     """Summary of frame-to-frame differences within each episode."""
     steps = with_previous(frames, column).where(F.col("p").isNotNull())
     steps = steps.select("dataset", "width", difference(F.col("v"), F.col("p")).alias("v"))
@@ -104,12 +125,12 @@ def as_arrays(summary: DataFrame, **columns: Column) -> DataFrame:
     return folded.select("dataset", *[F.col(f"_all.{k}").alias(k) for k in columns])
 
 
-def step_scales(frames: DataFrame, column: str) -> DataFrame:
+def step_scales(frames: DataFrame | Matrix, column: str) -> DataFrame:
     """Per dataset, the std of each dimension's differences, zero replaced by one."""
     return as_arrays(diff_summary(frames, column), scale=or_one(F.col("std")))
 
 
-def extremes_share(frames: DataFrame, column: str, summary: DataFrame) -> DataFrame:
+def extremes_share(frames: DataFrame | Matrix, column: str, summary: DataFrame) -> DataFrame:
     """Add at_minimum/at_maximum: how many finite rows sit on the extremes."""
     rows, episodes = matrix(frames, column)
     limits = as_arrays(summary, lo=F.col("minimum"), hi=F.col("maximum"))
@@ -124,7 +145,7 @@ def extremes_share(frames: DataFrame, column: str, summary: DataFrame) -> DataFr
     return summary.join(counts, ["dataset", "dim"], "left").na.fill(0, ["at_minimum", "at_maximum"])
 
 
-def full_summary(frames: DataFrame, column: str) -> DataFrame:
+def full_summary(frames: DataFrame | Matrix, column: str) -> DataFrame:
     return extremes_share(frames, column, column_summary(frames, column))
 
 
@@ -137,7 +158,7 @@ def clip_share(full: DataFrame) -> DataFrame:
     )
 
 
-def outlier_counts(frames: DataFrame, column: str, summary: DataFrame, limit: float = 10.0) -> DataFrame:
+def outlier_counts(frames: DataFrame | Matrix, column: str, summary: DataFrame, limit: float = 10.0) -> DataFrame:
     """Finite rows more than ``limit`` standard deviations from the mean, per dim."""
     rows, episodes = matrix(frames, column)
     scale = as_arrays(summary, m=F.col("mean"), s=F.col("std"))
@@ -183,7 +204,7 @@ def group_range(series: DataFrame, *keys: str) -> DataFrame:
     return series.groupBy(*keys).agg(F.min(kept).alias("minimum"), F.max(kept).alias("maximum"))
 
 
-def distribution_shift(frames: DataFrame, column: str, episode_rank: DataFrame, limit: float = 3.0) -> DataFrame:
+def distribution_shift(frames: DataFrame | Matrix, column: str, episode_rank: DataFrame, limit: float = 3.0) -> DataFrame:
     """Largest mean shift between the first and last quarter of the episodes.
 
     ``episode_rank`` holds ``rank`` (0-based episode order) and ``episodes`` per episode.

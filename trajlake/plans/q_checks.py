@@ -190,7 +190,7 @@ ol AS (SELECT dataset, col, dim, count(*) AS c FROM sx JOIN mo USING (dataset, c
 def statistics(spark, sf):
     rec = dirty(spark, sf)
     stored = [(d, c, "mean", 0, 0.0) for d in "ANR" for c in ("action", "observation.state")]
-    rec.stats = spark.createDataFrame(stored, "dataset string, feature string, field string, dim int, value double")
+    rec.stored_stats = spark.createDataFrame(stored, "dataset string, feature string, field string, dim int, value double")
     return typed(data.statistics(rec))
 
 
@@ -500,7 +500,7 @@ def training(spark, sf):
     std = c.where("c_acctbal < 2000 or c_acctbal > 4000").select(
         "dataset", feature.alias("feature"), F.lit("std").alias("field"), F.explode(F.array(F.lit(0), F.lit(1))).alias("dim"), bal.alias("value")
     ).withColumn("value", F.when(F.col("dim") == 1, F.lit(0.0)).otherwise(F.col("value")))
-    rec.stats = mean.unionByName(std)
+    rec.stored_stats = mean.unionByName(std)
     return typed(files.training(rec))
 
 

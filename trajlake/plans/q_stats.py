@@ -10,6 +10,7 @@ from trajlake.operators.blocks import KEYS, episode_lengths
 from trajlake.plans.oracle import EMB, EV, EV_LONG, LI, LI_LONG, r, sql
 from trajlake.plans.registry import query
 from trajlake.plans.views import emb_frames, ev_frames, li_frames
+from trajlake.session import cut
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -30,7 +31,8 @@ GROUP BY dataset, dim""",
     ),
 )
 def vector_summary(spark, sf):
-    full = stats.full_summary(li_frames(spark, sf), "action")
+    m = stats.prepare(li_frames(spark, sf), "action")
+    full = stats.extremes_share(m, "action", cut(stats.column_summary(m, "action")))
     return rounded(full, "mean", "std").select(
         "dataset", "dim", "count", "mean", "std", "minimum", "maximum", "at_minimum", "at_maximum"
     )
@@ -109,8 +111,8 @@ FROM lil JOIN m USING (dataset, dim) GROUP BY dataset, dim""",
     ),
 )
 def extreme_outliers(spark, sf):
-    frames = li_frames(spark, sf)
-    return stats.outlier_counts(frames, "action", stats.column_summary(frames, "action"), limit=1.5)
+    m = stats.prepare(li_frames(spark, sf), "action")
+    return stats.outlier_counts(m, "action", cut(stats.column_summary(m, "action")), limit=1.5)
 
 
 @query(
@@ -124,7 +126,9 @@ WHERE lo <> hi GROUP BY dataset, dim HAVING count(*) > 10""",
     ),
 )
 def clip_share(spark, sf):
-    out = stats.clip_share(stats.full_summary(li_frames(spark, sf), "action"))
+    m = stats.prepare(li_frames(spark, sf), "action")
+    full = stats.extremes_share(m, "action", cut(stats.column_summary(m, "action")))
+    out = stats.clip_share(full)
     return rounded(out, "min_share", "max_share").select("dataset", "dim", "min_share", "max_share")
 
 
@@ -245,7 +249,8 @@ GROUP BY dataset, episode_index""",
     ),
 )
 def mean_z_jumps(spark, sf):
-    return mc.mean_jumps(li_frames(spark, sf), "action", threshold=1.8)
+    m = stats.prepare(li_frames(spark, sf), "action")
+    return mc.mean_jumps(m, "action", threshold=1.8, scales=cut(stats.step_scales(m, "action")))
 
 
 @query(
@@ -265,8 +270,11 @@ FROM rk WHERE rank <= 5""",
     ),
 )
 def coordinated_jumps(spark, sf):
-    hits = mc.dimension_jumps(li_frames(spark, sf), "action", threshold=1.9, extreme=2.35, report=1.2)
-    hits = rounded(hits, "max_z").withColumn("reported", F.size("reported"))
+    m = stats.prepare(li_frames(spark, sf), "action")
+    scales = cut(stats.step_scales(m, "action"))
+    hits = mc.dimension_jumps(m, "action", threshold=1.9, extreme=2.35, report=1.2, scales=scales)
+    # The events are few; both the ranking and the counting read them.
+    hits = cut(rounded(hits, "max_z").withColumn("reported", F.size("reported")))
     return mc.top_per_group(hits, KEYS, [F.desc("max_z"), "position"])
 
 
