@@ -109,7 +109,14 @@ def blocked(
     else:
         out = out.withColumn("_block", F.col("_home"))
     if episodes is not None:
-        out = out.join(spread(episodes, size), [*KEYS, "_block"])
+        placed = spread(episodes, size)
+        if len(targets) > 1:
+            # Work per block follows, so the rows have to move to their block anyway:
+            # they move once, here, over all tasks, and the join and the windows use it.
+            tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            out = out.repartition(tasks, *KEYS, "_block")
+            placed = placed.hint("merge")
+        out = out.join(placed, [*KEYS, "_block"])
     return out
 
 

@@ -208,7 +208,7 @@ NAMES = (
 
 def pairs(spark):
     a, s, schema = NAMES
-    return ins.pair_dims(spark.createDataFrame(a, schema), spark.createDataFrame(s, schema))
+    return cut(ins.pair_dims(spark.createDataFrame(a, schema), spark.createDataFrame(s, schema)))
 
 
 CC = """,
