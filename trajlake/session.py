@@ -34,13 +34,26 @@ def split_rows() -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach; a temporary one only where none is set."""
+    """The folder all executors can reach.
+
+    Where ``spark.checkpoint.dir`` is unset, a local session gets a temporary
+    folder; any other session has none and is told so.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="trajlake-"))
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        if "folder" not in _LOCAL:
+            _LOCAL["folder"] = tempfile.mkdtemp(prefix="trajlake-")
+        folder = _LOCAL["folder"]
     return folder.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/trajlake-{kind}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it from there.
 
@@ -48,7 +61,7 @@ def cut(df: DataFrame) -> DataFrame:
     computes it again, also when executors are lost.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/trajlake-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -59,7 +72,7 @@ def cut_once(name: str, source: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, name, source)
     if key not in _WRITTEN:
         df = build()
-        path = f"{shared_folder(spark)}/trajlake-{uuid.uuid4().hex}"
+        path = fresh_path(spark)
         df.write.parquet(path)
         _WRITTEN[key] = (path, df.schema)
     path, schema = _WRITTEN[key]
