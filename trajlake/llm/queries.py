@@ -4,13 +4,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm import dartminhash, gam, imatch, mixing, patterns, seekable, surrogates
+from trajlake.llm import cascade, dartminhash, gam, hmm, imatch, impact, mixing, patterns, seekable, surrogates
 from trajlake.llm.common import remainder, save, table
 from trajlake.plans.registry import query
 
 END_ID = 2
 
 
+@query("op1_hidden_markov")
+def op1_hidden_markov(spark: SparkSession, sf: str) -> DataFrame:
+    return hmm.scored(table(spark, sf, "documents"))
+
+
 @query("op2_seekable_frames")
 def op2_seekable_frames(spark: SparkSession, sf: str) -> DataFrame:
     path = seekable.write(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
@@ -23,6 +28,32 @@ def op3_imatch(spark: SparkSession, sf: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf, "documents"))
 
 
+OP4_SQL = """
+with parts as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
+), urls as (
+  select page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+  from parts
+), rules(rule_host, rule_path, action) as (
+  values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), fits as (
+  select page_id, host, path, rule_host || rule_path as rule, action,
+         row_number() over (partition by page_id order by length(rule_host || rule_path) desc nulls last) as n
+  from urls left join rules
+    on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+)
+select page_id, host, path, rule, coalesce(action, 'allow') as verdict from fits where n = 1
+"""
+
+
+@query("op4_bloom_cascade", OP4_SQL)
+def op4_bloom_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    return cascade.judged(table(spark, sf, "pages"), cascade.rule_table(spark))
+
+
 @query("op5_additive_quality")
 def op5_additive_quality(spark: SparkSession, sf: str) -> DataFrame:
     scored = gam.scored(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -30,6 +61,25 @@ def op5_additive_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+OP6_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.x, c.x)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+)
+select query_id, rank, vec_id, score from (
+  select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s
+) where rank <= 5
+"""
+
+
+@query("op6_impact_index", OP6_SQL)
+def op6_impact_index(spark: SparkSession, sf: str) -> DataFrame:
+    return impact.top(impact.whole_numbers(table(spark, sf, "embeddings")), F.col("id") % 50 == 0)
+
+
 @query("op7_surrogates")
 def op7_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     replaced, _ = surrogates.replace(table(spark, sf, "documents"))
