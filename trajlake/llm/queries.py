@@ -63,8 +63,8 @@ def op5_additive_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 OP6_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as x from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id, list_dot_product(q.x, c.x)::bigint as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
