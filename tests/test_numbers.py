@@ -61,8 +61,10 @@ def test_tags(spark):
         tags.clean_tag(F.lit("   ")),
         tags.clean_objects(F.array(F.lit("Cup"), F.lit("cup "), F.lit(""), F.lit("Box"))),
         F.length(tags.clean_notes(F.lit("x" * 700))),
+        F.length(tags.clean_notes(F.lit("x" * 700), 500)),
+        F.size(tags.clean_objects(F.array(*[F.lit(f"o{i}") for i in range(30)]))),
     )
-    assert list(row) == ["pick_and_place", None, ["cup", "box"], 500]
+    assert list(row) == ["pick_and_place", None, ["cup", "box"], 700, 500, 30]
 
 
 def test_units_and_vectors(spark):

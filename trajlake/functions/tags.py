@@ -3,28 +3,24 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed limits.
-TAG_LENGTH = 50
-MAX_OBJECTS = 20
-NOTES_LENGTH = 500
 
-
-def clean_tag(value: Column) -> Column:
-    """Trimmed, lower case, white space as ``_``, at most 50 characters; empty is null."""
+def clean_tag(value: Column, most: int | None = None) -> Column:
+    """Trimmed, lower case, white space as ``_``; empty is null. With ``most``, cut to so many characters."""
     text = F.regexp_replace(F.lower(F.regexp_replace(value, r"^\s+|\s+$", "")), r"\s+", "_")
-    return F.when(text != "", F.substring(text, 1, TAG_LENGTH))
+    return F.when(text != "", text if most is None else F.substring(text, 1, most))
 
 
-def clean_objects(values: Column) -> Column:
-    """Clean tags, the first 20 of them, each once in order."""
-    cleaned = F.array_compact(F.transform(values, clean_tag))
+def clean_objects(values: Column, most: int | None = None, length: int | None = None) -> Column:
+    """Clean tags, each once in order; with ``most``, of the first so many."""
+    cleaned = F.array_compact(F.transform(values, lambda v: clean_tag(v, length)))
     empty = F.array().cast("array<string>")
-    return F.coalesce(F.array_distinct(F.slice(cleaned, 1, MAX_OBJECTS)), empty)
+    return F.coalesce(F.array_distinct(cleaned if most is None else F.slice(cleaned, 1, most)), empty)
 
 
-def clean_notes(value: Column) -> Column:
+def clean_notes(value: Column, most: int | None = None) -> Column:
+    """Trimmed; empty is null. With ``most``, cut to so many characters."""
     text = F.regexp_replace(value, r"^\s+|\s+$", "")
-    return F.when(text != "", F.substring(text, 1, NOTES_LENGTH))
+    return F.when(text != "", text if most is None else F.substring(text, 1, most))
 
 
 def is_untagged(task: Column, scene: Column, objects: Column, notes: Column) -> Column:

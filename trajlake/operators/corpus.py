@@ -8,7 +8,6 @@ from trajlake.operators.blocks import positions
 
 # Fixed values.
 UNGROUPED = "Ungrouped"
-KEPT_DAYS = 180
 FLAT_HOURS = 0.005
 DAY_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 COUNTS = ("tasks", "episodes", "frames")
@@ -172,11 +171,16 @@ def snapshot(segments: DataFrame, day: Column) -> DataFrame:
     )
 
 
-def record_day(history: DataFrame, today: DataFrame, keep_days: int = KEPT_DAYS) -> DataFrame:
-    """Put today's rows in place of the same day's, drop malformed and old days."""
+def record_day(history: DataFrame, today: DataFrame, keep_days: int | None = None) -> DataFrame:
+    """Put today's rows in place of the same day's and drop malformed days.
+
+    With ``keep_days``, only so many of the latest days stay.
+    """
     day_of_today = today.select("day").distinct()
     rest = history.where(F.col("day").rlike(DAY_PATTERN) & F.col("source").isNotNull())
     merged = rest.join(day_of_today, "day", "left_anti").unionByName(today)
+    if keep_days is None:
+        return merged
     # One row per calendar day, so this window is small whatever the history holds.
     days = merged.select("day").distinct()
     kept = days.withColumn("_age", F.row_number().over(Window.orderBy(F.desc("day")))).where(
@@ -187,7 +191,7 @@ def record_day(history: DataFrame, today: DataFrame, keep_days: int = KEPT_DAYS)
 
 def previous_days(history: DataFrame) -> DataFrame:
     """Each recorded day with the latest recorded day before it and the days between."""
-    days = history.select("day").distinct()
+    days = history.where(F.col("day").rlike(DAY_PATTERN)).select("day").distinct()
     before = F.lag("day").over(Window.orderBy("day"))  # one row per calendar day
     out = days.select("day", before.alias("since"))
     return out.withColumn("span_days", F.datediff(F.to_date("day"), F.to_date("since")))

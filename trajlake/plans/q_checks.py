@@ -362,7 +362,7 @@ def order_probe(rec) -> DataFrame:
 
 PROBE = VID + """,
 vl AS (SELECT dataset, path, CAST(sum(length) AS BIGINT) AS n FROM ex JOIN inv USING (dataset, path) GROUP BY 1, 2),
-vr AS (SELECT * FROM (SELECT vl.*, row_number() OVER (PARTITION BY dataset ORDER BY path) AS rk FROM vl) WHERE rk <= 20),
+vr AS (SELECT vl.* FROM vl),
 iss AS (SELECT dataset, path, n, unnest(CASE n WHEN 2 THEN ['structure'] WHEN 3 THEN ['no_media'] WHEN 4 THEN ['resolution'] WHEN 5 THEN ['fps']
           WHEN 6 THEN ['frames'] ELSE [] END) AS issue, bal FROM vr JOIN oi USING (dataset)),
 iss2 AS (SELECT * FROM iss WHERE NOT (issue = 'fps' AND bal < -500))"""

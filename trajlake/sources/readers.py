@@ -16,8 +16,6 @@ from trajlake.operators.blocks import KEYS, positions
 BOOKKEEPING = ("timestamp", "frame_index", "episode_index", "index", "task_index")
 # Fixed names: directories that never hold datasets.
 IGNORED = ("calibration", ".cache", ".git", "node_modules", "__pycache__")
-MAX_FILES = 100_000
-SCAN_DEPTH = 3
 
 INFO_SCHEMA = (
     "codebase_version string, fps string, total_episodes string, total_frames string, total_tasks string, "
@@ -375,8 +373,8 @@ def parse_stats(texts: DataFrame) -> DataFrame:
     )
 
 
-def discover(spark: SparkSession, root: str, depth: int = SCAN_DEPTH) -> DataFrame:
-    """Datasets down to ``depth``: folders with a versioned info document.
+def discover(spark: SparkSession, root: str, depth: int | None = None) -> DataFrame:
+    """Datasets, down to ``depth`` folders if given: folders with a versioned info document.
 
     Dot folders and ignored folders are skipped, and nothing below a dataset
     counts as another one.
@@ -384,12 +382,12 @@ def discover(spark: SparkSession, root: str, depth: int = SCAN_DEPTH) -> DataFra
     return top_datasets(read_infos(spark, root), depth)
 
 
-def top_datasets(infos: DataFrame, depth: int = SCAN_DEPTH) -> DataFrame:
+def top_datasets(infos: DataFrame, depth: int | None = None) -> DataFrame:
     """The info rows that count as datasets by their place (see :func:`discover`)."""
     infos = infos.where(F.col("codebase_version").isNotNull() & (F.col("dataset") != "."))
     parts = F.split("dataset", "/")
     hidden = F.exists(parts, lambda p: p.startswith(".") | p.isin(*IGNORED))
-    infos = infos.where((F.size(parts) <= depth) & ~hidden)
+    infos = infos.where(~hidden if depth is None else (F.size(parts) <= depth) & ~hidden)
     parents = infos.select("dataset", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("_k")).select(
         "dataset", F.array_join(F.slice(parts, F.lit(1), F.col("_k")), "/").alias("_parent")
     ).where(F.col("_parent") != F.col("dataset"))
@@ -398,8 +396,8 @@ def top_datasets(infos: DataFrame, depth: int = SCAN_DEPTH) -> DataFrame:
     return infos.join(nested, "dataset", "left_anti")
 
 
-def read_inventory(spark: SparkSession, root: str, limit: int | None = MAX_FILES) -> DataFrame:
-    """Files below the root: ``(path, size, modified)``, and ``truncated`` past the limit.
+def read_inventory(spark: SparkSession, root: str, limit: int | None = None) -> DataFrame:
+    """Files below the root: ``(path, size, modified)``, and ``truncated`` past the limit, if one is given.
 
     Only file listings are read, never contents.
     """
