@@ -13,12 +13,13 @@ darts up to a rank of (darts wanted / total weight) are thrown; a document with
 coordinate throws further.
 
 Links: documents of the same words are one class first. Classes that share the hash of
-``ROWS`` coordinates (a band) are candidates. Each is compared with the smallest and the
-largest class of its bucket, on exact shingle weights; components of these links are found
-by repeated minimum labels. Buckets that still hold more than one component then get every
-pair across components compared: by signature, in chunks, inside a task, and those near
-enough exactly. Pairs within a component are never made, so a group of copies costs links
-in proportion to its size. That repeats until no bucket gains a link.
+``ROWS`` coordinates (a band) are candidates. Each is first compared with one hub, the
+first class of all its buckets in a hashed order, on exact shingle weights; components of
+these links are found by repeated minimum labels; that is done ``STARS`` times. Buckets
+that still hold more than one component then get every pair across components compared: by
+signature, in chunks, inside a task, and those near enough exactly. Pairs within a component
+are never made, so a group of copies costs pairs in proportion to its size, and no candidate
+pair across components is left out.
 
 Nulls: a null text is an empty one; documents without words form one class; a null doc_id
 is a document, and last in order. Repeated rows are members of their class. An empty table
@@ -46,6 +47,7 @@ DARTS = 8.0  # thrown per coordinate, on average
 # A signature's estimate of a similarity of LEAST falls below this with chance under 1e-5.
 DOUBT = 0.64
 CHUNK = 512
+STARS = 2
 FEW = 1_000_000  # rows of two numbers that may be broadcast
 NO_WORDS = hashlib.md5(b"").digest()
 
@@ -281,24 +283,30 @@ def components(links: DataFrame) -> DataFrame:
         labels = nxt.select("node", "label")
 
 
-def star_pairs(buckets: DataFrame) -> DataFrame:
-    """Each class of a bucket with the bucket's smallest and largest, as distinct ``a < b``."""
-    ends = buckets.groupBy("band", "key").agg(F.min("rep").alias("_lo"), F.max("rep").alias("_hi")).where("_lo < _hi")
-    met = buckets.join(ends, ["band", "key"])
-    low = met.select(F.col("_lo").alias("a"), F.col("rep").alias("b"))
-    high = met.select(F.col("rep").alias("a"), F.col("_hi").alias("b"))
-    return low.union(high).where("a < b").distinct()
+def labelled_buckets(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``buckets`` with the component of each class, itself where it has no link."""
+    if labels is None:
+        return buckets.withColumn("label", F.col("rep"))
+    met = buckets.join(labels, F.col("rep") == F.col("node"), "left")
+    return met.select("band", "key", "rep", F.coalesce("label", "rep").alias("label"))
 
 
-def crossing_pairs(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+def star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
+    """One pair ``a < b`` at most for each class: with the first class, in a hashed order that changes
+    with ``turn``, of all its buckets that begin with another component."""
+    order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), "rep", "label")
+    hubs = labelled.groupBy("band", "key").agg(F.min(order).alias("_h"))
+    met = labelled.join(hubs, ["band", "key"]).where(F.col("_h.label") != F.col("label"))
+    one = met.groupBy("rep").agg(F.min("_h").alias("_h"))
+    return one.select(F.least("rep", "_h.rep").alias("a"), F.greatest("rep", "_h.rep").alias("b")).distinct()
+
+
+def crossing_pairs(labelled: DataFrame, reps: DataFrame) -> DataFrame:
     """Near enough pairs ``a < b`` of one bucket but two components.
 
     The members of a bucket's largest component are only compared with the others; the
     others go to each chunk of the bucket. Pairs are made and judged inside a task.
     """
-    labelled = buckets.join(labels, F.col("rep") == F.col("node"), "left").select(
-        "band", "key", "rep", F.coalesce("label", "rep").alias("label")
-    )
     parts = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
     opened = (
         parts.groupBy("band", "key")
@@ -338,9 +346,12 @@ def classed(docs: DataFrame) -> DataFrame:
     )
     reps = save(reps, "reps")
     buckets = save(bands(reps.where(F.col("words") != F.lit(NO_WORDS))), "bands")
-    links = save(verified(star_pairs(buckets), reps, docs), "links")
-    labels = components(links)
-    more = save(verified(crossing_pairs(buckets, labels, reps), reps, docs), "links")
+    links, labels = None, None
+    for turn in range(STARS):
+        found = save(verified(star_pairs(labelled_buckets(buckets, labels), turn), reps, docs), "links")
+        links = found if links is None else links.union(found)
+        labels = components(links)
+    more = save(verified(crossing_pairs(labelled_buckets(buckets, labels), reps), reps, docs), "links")
     labels = labels if more.isEmpty() else components(links.union(more))
     of = reps.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "first_id", F.coalesce("label", "rep").alias("class"))
     of = save(of, "classes")
