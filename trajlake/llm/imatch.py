@@ -10,8 +10,9 @@ agree when much of a text has changed, thick ones only for near copies.
 
 The lexicon's size does not grow with the corpus: a term in ``low`` of all documents
 needs that many (document, term) pairs, so there are at most (distinct terms of the
-mean document) / low of them. It is broadcast only where its counted size is within
-``LEXICON_ROWS``; Spark joins it by its own choice otherwise.
+mean document) / low of them. It is counted before it is brought into the plan as one
+constant, a table of hash buckets, so that terms are looked up in the row where they stand:
+no join, and no row per term.
 
 Nulls: a null text is an empty one; a null doc_id comes after all others in descending
 order. A document without a lexicon term gets ``*`` and the hash of all its distinct
@@ -24,13 +25,13 @@ ignored; texts are read whole.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import ids_and_texts, save, small
+from trajlake.llm.common import ids_and_texts, save
 
 LOW, HIGH = 0.005, 0.1
 DENSITIES = (1, 2, 3, 4, 5, 6, 7, 8)  # a term is kept with chance 2**-d
 REPEATS = 5
 SUBSETS = len(DENSITIES) * REPEATS
-LEXICON_ROWS = 200_000
+LEXICON_ROWS = 1_000_000  # more is an error: lower bands must have shorter documents
 DEPTH = 9  # documents are cut into at most 2**DEPTH ranges of doc_id
 
 
@@ -53,6 +54,31 @@ def lexicon(texts: DataFrame, low: float = LOW, high: float = HIGH, seed: int =
     return save(band.select("term", mask.alias("mask")), "lexicon")
 
 
+def lookup(known: DataFrame) -> Column:
+    """The lexicon as one constant array of buckets, each a string `` term=mask term=mask `` (mask in 16 hex digits)."""
+    n = known.count()
+    if n > LEXICON_ROWS:
+        raise ValueError(f"a lexicon of {n} terms is beyond {LEXICON_ROWS}; raise the lower bound of the band")
+    size = 1 << max(1, n).bit_length()
+    entry = F.concat("term", F.lit("="), F.lpad(F.hex("mask"), 16, "0"))
+    buckets = [" "] * size
+    for row in known.select(F.pmod(F.xxhash64("term"), F.lit(size)).alias("b"), entry.alias("e")).collect():
+        buckets[row.b] += row.e + " "
+    return F.split(F.lit("\n".join(buckets)), "\n")
+
+
+def in_lexicon(found: Column, table: Column) -> Column:
+    """The terms that the lexicon holds, sorted, as array of struct(term, mask in hex)."""
+
+    def entry(term: Column) -> Column:
+        bucket = F.element_at(table, (F.pmod(F.xxhash64(term), F.size(table).cast("long")) + 1).cast("int"))
+        start = F.instr(bucket, F.concat(F.lit(" "), term, F.lit("=")))
+        return F.struct(term.alias("term"), F.when(start > 0, F.substring(bucket, start + F.char_length(term) + 2, F.lit(16))).alias("mask"))
+
+    kept = F.filter(F.transform(found, entry), lambda x: x["mask"].isNotNull())
+    return F.transform(F.array_sort(kept), lambda x: F.struct(x["term"].alias("term"), F.conv(x["mask"], 16, -10).cast("long").alias("mask")))
+
+
 def subset_hashes(kept: str) -> Column:
     """Hashes by subset of a column of lexicon terms, an array of struct(term, mask) sorted by term."""
     joined = (
@@ -130,35 +156,16 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, seed: in
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
     texts = ids_and_texts(docs)
     known = lexicon(texts, low, high, seed)
-    rows = with_next(texts).withColumn("edited", edited_text(F.col("text"), F.col("next")))
-    # A row for each distinct term of the three texts, with a bit for each text that has it.
-    sets = F.flatten(
-        F.array(
-            F.transform(terms(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(1).alias("of"))),
-            F.transform(terms(F.col("edited")), lambda t: F.struct(t.alias("term"), F.lit(2).alias("of"))),
-            F.transform(terms(F.col("next")), lambda t: F.struct(t.alias("term"), F.lit(4).alias("of"))),
-        )
-    )
-    plain = [F.hex(F.xxhash64(F.array_join(F.array_sort(terms(F.col(c))), " "))).alias(f"_{c}") for c in ("text", "edited", "next")]
-    slim = rows.select(
-        "block",
-        "row",
+    rows = with_next(texts).drop("block", "row").withColumn("edited", edited_text(F.col("text"), F.col("next")))
+    table = lookup(known)
+    rows = rows.select("*", *[terms(F.col(c)).alias(f"_{c}") for c in ("text", "edited", "next")])
+    lists = rows.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        *plain,
-        sets.alias("_s"),
+        *[F.hex(F.xxhash64(F.array_join(F.array_sort(f"_{c}"), " "))).alias(f"_{c}") for c in ("text", "edited", "next")],
+        *[in_lexicon(F.col(f"_{c}"), table).alias(k) for c, k in (("text", "_kt"), ("edited", "_ke"), ("next", "_kn"))],
     )
-    # In a step of its own: what stands beside an explode is worked out for each of its rows.
-    keys = ["block", "row", "doc_id", "n_chars", "edited_sha256", "_text", "_edited", "_next"]
-    slim = slim.select(*keys, F.explode_outer("_s").alias("_t")).select(*keys, "_t.term", "_t.of")
-    met = slim.join(small(known, LEXICON_ROWS), "term", "left")
-    entry = F.when(F.col("mask").isNotNull(), F.struct("term", "mask", "of"))
-    kept = met.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("kept"))
-    lists = kept.select(
-        "doc_id", "n_chars", "edited_sha256", "_text", "_edited", "_next",
-        *[F.expr(f"filter(kept, x -> x.of = {bit})").alias(name) for bit, name in ((1, "_kt"), (2, "_ke"), (4, "_kn"))],
-    )
     # A document without lexicon terms gets one hash, that of all its terms.
     prints = lists.select(
         "doc_id",
