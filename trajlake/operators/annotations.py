@@ -111,7 +111,7 @@ def spans(atoms: DataFrame, durations: DataFrame) -> DataFrame:
                 F.lit("span").alias("kind"),
                 F.lit(0.0).alias("start"),
                 F.col("duration").alias("end"),
-                F.coalesce(content, F.lit("task augmentation")).alias("label"),
+                F.coalesce(content, F.col("style")).alias("label"),
             )
         )
         .unionByName(
@@ -124,7 +124,7 @@ def spans(atoms: DataFrame, durations: DataFrame) -> DataFrame:
                 F.when(F.col("style") == "memory", F.coalesce(content, F.lit("memory")))
                 .when(F.col("style") == "interjection", F.coalesce(content, F.lit("")))
                 .when(F.col("style") == "vqa", F.coalesce(vqa_kind(F.col("content")), F.lit("vqa")))
-                .otherwise(F.lit("say(…)"))
+                .otherwise(F.lit("speech"))
                 .alias("label"),
             )
         )

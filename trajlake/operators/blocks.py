@@ -36,8 +36,6 @@ def positions(
         .where(F.col("_n") > limit)
         .select(*keys, "_lo", "_hi", F.ceil(F.col("_n") * 4 / limit).alias("_slices"))
     )
-    # At most one row per `limit` input rows, so small enough to broadcast.
-    long_groups = F.broadcast(long_groups)
     slot = F.floor(
         F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * F.col("_slices")
     )
@@ -112,9 +110,9 @@ def blocked(
         placed = spread(episodes, size)
         if len(targets) > 1:
             # Work per block follows, so the rows have to move to their block anyway:
-            # they move once, here, over all tasks, and the join and the windows use it.
-            tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            out = out.repartition(tasks, *KEYS, "_block")
+            # they move once, here, and the join and the windows use it. Without a number of
+            # tasks Spark may still merge or split them by size.
+            out = out.repartition(*KEYS, "_block")
             placed = placed.hint("merge")
         out = out.join(placed, [*KEYS, "_block"])
     return out

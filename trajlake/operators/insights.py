@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from trajlake.functions.numbers import or_one, round_half_up
 from trajlake.functions.vectors import fit, quoted
 from trajlake.operators.blocks import KEYS, blocked, core, exact_ranks, positions, window
+from trajlake.session import block_rows
 
 # Fixed thresholds.
 ACTIVITY_SHARE = 0.001
@@ -147,18 +148,22 @@ def lowest(scores: DataFrame, by: str, k: int, descending: bool = False) -> Data
 def motor_ranges(frames: DataFrame, column: str = "action") -> DataFrame:
     """Per (dataset, dim): value range (0 becomes 1) and whether <=4 distinct values occur.
 
-    Distinct values are cut to five per block before they are shuffled: more
-    than four is all that needs to be known.
+    Plain aggregates over slices of ``block_rows`` frames; no row meets its neighbours.
+    Distinct values are cut to five per slice before they are shuffled: more than four
+    is all that needs to be known.
     """
-    episodes = action_episodes(frames, column)
-    long = steps(frames, episodes, column)
-    few = F.slice(F.array_sort(F.collect_set("x")), 1, DISCRETE_VALUES + 1)
-    per_block = long.groupBy(*KEYS, "_block", "dim").agg(
-        F.min("x").alias("_lo"), F.max("x").alias("_hi"), few.alias("_few")
+    slice_of = F.floor(F.col("position") / block_rows())
+    long = (
+        action_rows(frames, column)
+        .join(action_episodes(frames, column), KEYS)
+        .select(*KEYS, slice_of.alias("_slice"), F.posexplode(fit(F.col("v"), F.col("dims"))).alias("dim", "_x"))
+        .withColumn("x", F.coalesce("_x", F.lit(0.0)))
     )
-    ranges = per_block.groupBy("dataset", "dim").agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi"))
+    few = F.slice(F.array_sort(F.collect_set("x")), 1, DISCRETE_VALUES + 1)
+    per_slice = long.groupBy(*KEYS, "_slice", "dim").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), few.alias("_few"))
+    ranges = per_slice.groupBy("dataset", "dim").agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi"))
     values = (
-        per_block.select("dataset", "dim", F.explode("_few").alias("_x"))
+        per_slice.select("dataset", "dim", F.explode("_few").alias("_x"))
         .groupBy("dataset", "dim", "_x").agg(F.lit(1))
         .groupBy("dataset", "dim").agg(F.count("*").alias("_values"))
     )
