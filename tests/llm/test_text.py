@@ -11,7 +11,7 @@ from trajlake.llm import imatch, mixing, surrogates
 
 def test_fingerprints_of_texts_and_their_edits(docs_of, odd):
     rnd = random.Random(2)
-    rows = odd + [(100 + i, " ".join(f"t{rnd.randrange(60)}" for _ in range(50))) for i in range(60)] + [(300, "é日" * 7)]
+    rows = odd + [(100 + i, " ".join(f"t{rnd.randrange(600)}" for _ in range(50))) for i in range(60)] + [(300, "é日" * 7)]
     got = imatch.fingerprints(docs_of(rows, extra=True)).collect()
     ordered = sorted(((d, t or "") for d, t in rows), key=lambda r: r[1])
     ordered.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))
@@ -37,7 +37,7 @@ def test_fingerprints_of_texts_and_their_edits(docs_of, odd):
 
 def test_brute_force_subset_hashes(spark, docs_of):
     rnd = random.Random(3)
-    rows = [(i, " ".join(f"t{rnd.randrange(80)}" for _ in range(30))) for i in range(80)]
+    rows = [(i, " ".join(f"t{rnd.randrange(500)}" for _ in range(30))) for i in range(80)]
     known = {r.term: r["mask"] for r in imatch.lexicon(docs_of(rows)).collect()}
     lists = [[sorted(t for t in set(text.split()) if known.get(t, 0) >> s & 1) for s in range(imatch.SUBSETS)] for _, text in rows]
     flat = spark.createDataFrame([(i, s, " ".join(x)) for i, sets in enumerate(lists) for s, x in enumerate(sets)], "i long, s int, t string")
@@ -47,13 +47,13 @@ def test_brute_force_subset_hashes(spark, docs_of):
 
 
 PERSONAL = [
-    (1, "Mail bob.smith@Mail3.example.com or BOB.SMITH@MAIL3.EXAMPLE.COM now"),
-    (2, "call +1 (017) 555-7713, +1-017-555-7713"),
-    (3, "card 4539578763621486 and 4539-5787-6362-1486 ip 169.122.221.182"),
-    (4, "Mr John Smith met Mrs. Mary Smith and Г-жа Анна Петрова"),
-    (5, "clean text 12 2024-10-11 v1.2.3 and 3.14"),
-    (6, 'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"'),
-    (7, "a@b.co e@b.co i@b.co o@b.co u@b.co"),
+    (101, "Mail bob.smith@Mail3.example.com or BOB.SMITH@MAIL3.EXAMPLE.COM now"),
+    (102, "call +1 (017) 555-7713, +1-017-555-7713"),
+    (103, "card 4539578763621486 and 4539-5787-6362-1486 ip 169.122.221.182"),
+    (104, "Mr John Smith met Mrs. Mary Smith and Г-жа Анна Петрова"),
+    (105, "clean text 12 2024-10-11 v1.2.3 and 3.14"),
+    (106, 'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"'),
+    (107, "a@b.co e@b.co i@b.co o@b.co u@b.co"),
 ]
 
 
@@ -65,36 +65,36 @@ def luhn(digits):
 def test_surrogates(docs_of, odd):
     rows = PERSONAL + odd
     df, known = surrogates.replace(docs_of(rows, extra=True))
+    known = known.collect()
     assert "_t" in df.columns and len(df.columns) == 16
     got = {}
     for r in df.collect():
         got.setdefault(r.doc_id, []).append((r.text, r.n_entities))
     assert len(df.collect()) == len(rows)
-    a, b = re.findall(r"\S+@\S+", got[1][0][0])
+    a, b = re.findall(r"\S+@\S+", got[101][0][0])
     assert b == a.upper() and not re.search("smith|example|bob", a, re.I) and a.endswith(".com")
-    for doc_id, text in PERSONAL:
-        shape = lambda t: re.sub(r"\d", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", t)))
-        if doc_id in (1, 2, 3, 5, 6):
-            assert shape(got[doc_id][-1 if doc_id > 5 else 0][0]) == shape(text) or doc_id in (1, 6, 3, 2)
-    phones = re.findall(r"\+1[^,]+", got[2][0][0])
+    shape = lambda t: re.sub(r"\d", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", t)))
+    for doc_id in (101, 102, 103, 106):
+        assert shape(got[doc_id][0][0]) == shape(dict(PERSONAL)[doc_id]) and got[doc_id][0][0] != dict(PERSONAL)[doc_id]
+    phones = re.findall(r"\+1[^,]+", got[102][0][0])
     assert re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1]) and "5557713" not in re.sub(r"\D", "", phones[0])
-    cards = re.findall(r"[\d-]{16,}", got[3][0][0])
+    cards = re.findall(r"[\d-]{16,}", got[103][0][0])
     assert cards[0] == cards[1].replace("-", "") and luhn(cards[0]) == luhn("4539578763621486") and cards[0] != "4539578763621486"
-    octets = [int(x) for x in got[3][0][0].split()[-1].split(".")]
+    octets = [int(x) for x in got[103][0][0].split()[-1].split(".")]
     assert all(100 <= x <= 255 for x in octets)
-    names = re.match(r"Mr (\w+) (\w+) met Mrs. (\w+) (\w+) and Г-жа (\w+) (\w+)", got[4][0][0]).groups()
+    names = re.match(r"Mr (\w+) (\w+) met Mrs. (\w+) (\w+) and Г-жа (\w+) (\w+)", got[104][0][0]).groups()
     assert names[0] in surrogates.GIVEN["m", "latin"] and names[2] in surrogates.GIVEN["f", "latin"] and names[1] == names[3]
     assert names[4] in surrogates.GIVEN["f", "cyrillic"] and re.fullmatch("[А-Яа-я]+", names[5])
-    assert got[5][0] == (PERSONAL[4][1], 0) or (PERSONAL[4][1], 0) in got[5]
+    assert got[105] == [(PERSONAL[4][1], 0)]
     for doc_id, text in odd:
         assert (text, 0) in got[doc_id]
-    pairs = [(r.type, r.norm, r["sub"]) for r in known.collect()]
+    pairs = [(r.type, r.norm, r["sub"]) for r in known]
     assert len({(t, s) for t, _, s in pairs}) == len(pairs)
     assert not {(t, s) for t, _, s in pairs} & {(t, n) for t, n, _ in pairs}
     again = surrogates.replace(docs_of(rows))[0].collect()
     assert sorted((str(r.doc_id), r.text or "") for r in again) == sorted((str(k), t or "") for k, v in got.items() for t, _ in v)
-    other = surrogates.replace(docs_of(PERSONAL), key="else")[0].where("doc_id = 1").first().text
-    assert other != got[1][0][0]
+    other = surrogates.replace(docs_of(PERSONAL), key="else")[0].where("doc_id = 101").first().text
+    assert other != got[101][0][0]
     assert surrogates.replace(docs_of([]))[0].collect() == []
 
 
