@@ -86,9 +86,17 @@ def test_autocorrelation(spark, blocks):
     a, b = rng.normal(size=17).cumsum(), np.full(23, 2.0)
     f = frames_of(spark, {0: [[float(x)] for x in a], 1: [[float(x)] for x in b]})
     got = {r["lag"]: r["acf"] for r in insights.autocorrelation(f, 100).collect()}
-    want = np.array([acf(a, 8), acf(b, 8)]).mean(0)
-    assert sorted(got) == list(range(1, 9))
-    assert [got[k + 1] for k in range(8)] == pytest.approx(list(want))
+    # Lags 9 to 11 are within half of the longer episode only.
+    want = [*np.array([acf(a, 8), acf(b, 8)]).mean(0), *acf(b, 11)[8:]]
+    assert sorted(got) == list(range(1, 12))
+    assert [got[k + 1] for k in range(11)] == pytest.approx(want)
+
+
+def test_a_short_episode_leaves_the_other_lags_alone(spark, blocks):
+    rng = np.random.default_rng(4)
+    cells = {e: [[float(x)] for x in rng.normal(size=n)] for e, n in ((0, 60), (1, 60), (2, 3))}
+    got = insights.autocorrelation(frames_of(spark, cells), 100).collect()
+    assert sorted((r["lag"], r["episodes"]) for r in got) == [(k, 2) for k in range(1, 31)]
 
 
 def test_alignment_finds_the_delay(spark, blocks):

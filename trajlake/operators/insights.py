@@ -265,9 +265,10 @@ def velocity_stats(
 def autocorrelation(frames: DataFrame, max_lag: int = MAX_ACF_LAG, column: str = "action") -> DataFrame:
     """Mean over episodes of each dim's autocorrelation at lags 1..L.
 
-    L is at most half the dataset's shortest episode; below 2 there is no
-    result. A dim that is constant in an episode adds 0 there. Look-ahead stays
-    inside a block plus ``max_lag`` copied rows.
+    An episode takes part in the lags up to half its length, if that is 2 or more,
+    and at most ``max_lag``; ``episodes`` says how many took part. A dim that is
+    constant in an episode adds 0 there. Look-ahead stays inside a block plus
+    ``max_lag`` copied rows.
     """
     episodes = action_episodes(frames, column)
     means = (
@@ -276,10 +277,7 @@ def autocorrelation(frames: DataFrame, max_lag: int = MAX_ACF_LAG, column: str =
         .groupBy(*KEYS, "dim")
         .agg(F.avg(F.coalesce("_x", F.lit(0.0))).alias("m"))
     )
-    limit = episodes.groupBy("dataset").agg(
-        F.count("*").alias("episodes"),
-        F.least(F.lit(max_lag), F.floor(F.min("n") / 2)).alias("lags"),
-    ).where(F.col("lags") >= 2)
+    limit = episodes.select(*KEYS, F.least(F.lit(max_lag), F.floor(F.col("n") / 2)).alias("_lags")).where("_lags >= 2")
     near = blocked(
         action_rows(frames, column),
         after=max_lag,
@@ -308,11 +306,10 @@ def autocorrelation(frames: DataFrame, max_lag: int = MAX_ACF_LAG, column: str =
     return (
         sums.where("lag > 0")
         .join(base, [*KEYS, "dim"])
+        .join(limit, KEYS)
+        .where(F.col("lag") <= F.col("_lags"))
         .groupBy("dataset", "dim", "lag")
-        .agg(F.sum(ratio).alias("_sum"))
-        .join(limit, "dataset")
-        .where(F.col("lag") <= F.col("lags"))
-        .select("dataset", "dim", "lag", (F.col("_sum") / F.col("episodes")).alias("acf"))
+        .agg(F.avg(ratio).alias("acf"), F.count("*").alias("episodes"))
     )
 
 

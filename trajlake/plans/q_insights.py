@@ -144,17 +144,18 @@ def velocity_bins(spark, sf):
 ACF = """,
 c AS (SELECT *, x - avg(x) OVER (PARTITION BY episode_index, dim) AS cx FROM evl),
 v0 AS (SELECT episode_index, dim, sum(cx * cx) AS v, min(x) = max(x) AS const FROM c GROUP BY 1, 2),
-lim AS (SELECT dataset, least(100, min(n) // 2) AS lags, count(DISTINCT episode_index) AS eps FROM ev GROUP BY 1),
-lg AS (SELECT dataset, eps, unnest(range(1, lags + 1)) AS lag FROM lim),
-pr AS (SELECT a.episode_index, a.dim, lg.lag, sum(a.cx * b.cx) AS s FROM c a JOIN lg ON a.dataset = lg.dataset
+lim AS (SELECT DISTINCT dataset, episode_index, least(100, n // 2) AS lags FROM ev WHERE n // 2 >= 2),
+lg AS (SELECT dataset, episode_index, unnest(range(1, lags + 1)) AS lag FROM lim),
+pr AS (SELECT a.episode_index, a.dim, lg.lag, sum(a.cx * b.cx) AS s
+       FROM c a JOIN lg ON a.dataset = lg.dataset AND a.episode_index = lg.episode_index
        JOIN c b ON a.episode_index = b.episode_index AND a.dim = b.dim AND b.position = a.position + lg.lag GROUP BY 1, 2, 3),
-acf AS (SELECT lg.dataset, pr.dim, pr.lag, sum(CASE WHEN const OR v = 0 THEN 0 ELSE s / v END) / max(eps) AS acf
-        FROM pr JOIN v0 USING (episode_index, dim) JOIN lg ON lg.lag = pr.lag GROUP BY 1, 2, 3)"""
+acf AS (SELECT lg.dataset, pr.dim, pr.lag, avg(CASE WHEN const OR v = 0 THEN 0 ELSE s / v END) AS acf, count(*) AS episodes
+        FROM pr JOIN v0 USING (episode_index, dim) JOIN lg USING (episode_index, lag) GROUP BY 1, 2, 3)"""
 
 
 @query(
     "a15_autocorrelation",
-    sql(EV_LONG + ACF, f"SELECT dataset, CAST(dim AS INT) AS dim, CAST(lag AS INT) AS lag, {r('acf')} AS acf FROM acf"),
+    sql(EV_LONG + ACF, f"SELECT dataset, CAST(dim AS INT) AS dim, CAST(lag AS INT) AS lag, {r('acf')} AS acf, episodes FROM acf"),
 )
 def autocorrelation(spark, sf):
     return rounded(ins.autocorrelation(ev(spark, sf)), "acf")
@@ -335,7 +336,7 @@ FROM pr JOIN v0 USING (episode_index, dim)""",
     ),
 )
 def episode_autocorrelation(spark, sf):
-    return rounded(ins.autocorrelation(ins.each_episode(ev(spark, sf))), "acf")
+    return rounded(ins.autocorrelation(ins.each_episode(ev(spark, sf))), "acf").drop("episodes")
 
 
 @query(
