@@ -32,7 +32,9 @@ DENSITIES = (1, 2, 3, 4, 5, 6, 7, 8)  # a term is kept with chance 2**-d
 REPEATS = 5
 SUBSETS = len(DENSITIES) * REPEATS
 LEXICON_ROWS = 1_000_000  # more is an error: lower bands must have shorter documents
-DEPTH = 9  # documents are cut into at most 2**DEPTH ranges of doc_id
+# Documents are cut into 2**depth ranges of doc_id, of some RANGE_ROWS documents each within these depths.
+LEAST_DEPTH, MOST_DEPTH = 9, 14
+RANGE_ROWS = 1000
 
 
 def terms(text: Column) -> Column:
@@ -100,13 +102,11 @@ def likeness(a: str, b: str) -> Column:
     return F.when(F.col(a) == F.col(b), 1.0).when(plain, 0.0).otherwise(F.coalesce(F.try_divide(same, full), F.lit(0.0)))
 
 
-def range_of(doc_id: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most ``doc_id``, by binary search; 0 for null.
-
-    ``bounds`` has 2**DEPTH - 1 entries.
-    """
-    table = F.lit(bounds)
-    steps = F.array(*[F.lit(1 << k) for k in range(DEPTH - 1, -1, -1)])
+def range_of(doc_id: Column, bounds: list[int], depth: int) -> Column:
+    """How many of the 2**depth - 1 sorted bounds are at most ``doc_id``, by binary search; 0 for null."""
+    # One string, as a list would be a node of the plan for each bound.
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+    steps = F.array(*[F.lit(1 << k) for k in range(depth - 1, -1, -1)])
     return F.aggregate(
         steps, F.lit(0), lambda place, step: F.when(F.element_at(table, place + step) <= doc_id, place + step).otherwise(place)
     )
@@ -119,10 +119,11 @@ def with_next(texts: DataFrame) -> DataFrame:
     is copied to the range before it in that order. So each text moves once and no task
     sees more than a range.
     """
-    size = (1 << DEPTH) - 1
+    depth = min(MOST_DEPTH, max(LEAST_DEPTH, (texts.count() // RANGE_ROWS).bit_length()))
+    size = (1 << depth) - 1
     bounds = texts.select("doc_id").approxQuantile("doc_id", [(i + 1) / (size + 1) for i in range(size)], 1 / (4 * size))
     bounds = [int(x) for x in bounds] or [0] * size
-    blocked = texts.withColumn("block", range_of(F.col("doc_id"), bounds))
+    blocked = texts.withColumn("block", range_of(F.col("doc_id"), bounds, depth))
     # One row per range: the highest id in it, and the range that precedes it in the order (around the end).
     heads = save(blocked.groupBy("block").agg(F.max("doc_id").alias("_top")), "heads")
     order = Window.orderBy(F.col("block").asc())
