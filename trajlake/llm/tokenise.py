@@ -8,7 +8,7 @@ order. Pieces repeat, so each worker asks the library for a piece only once.
 import os
 import re
 
-KEEP = 400_000  # pieces remembered by a worker; beyond that it starts anew
+KEEP = 1_000_000  # pieces remembered by a worker (some 200 MB); beyond that it starts anew
 LONG = 256  # longer pieces are not remembered
 
 _SPACED = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
