@@ -98,6 +98,20 @@ def test_surrogates(docs_of, odd):
     assert surrogates.replace(docs_of([]))[0].collect() == []
 
 
+LED_BY_SIGNS = ["-joe@x.com", "_joe.smith@x.com_", "...joe@x.com", "mailto:%20joe@x.com", "bob@y.org_joe@x.com", "+1 555 123 4567.joe@x.com"]
+
+
+def test_addresses_after_signs(docs_of):
+    rows = [(i, text) for i, text in enumerate(LED_BY_SIGNS)] + [(50, "a.b-c_" * 20_000), (51, "a" + "_" * 40 + "joe@x.com")]
+    got = {r.doc_id: r for r in surrogates.replace(docs_of(rows))[0].collect()}
+    for doc_id, text in rows:
+        if doc_id != 50:
+            assert "joe" not in got[doc_id].text and "x.com" not in got[doc_id].text, text
+            assert got[doc_id].n_entities == (2 if doc_id in (4, 5) else 1)
+    assert got[0].text[0] == "-" and got[2].text.startswith("...") and got[1].text[-1] == "_"
+    assert (got[50].text, got[50].n_entities) == (rows[6][1], 0)
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}

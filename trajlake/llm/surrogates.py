@@ -60,6 +60,9 @@ KEY = "trajlake"
 
 _FREE = r"(?<![\p{L}\p{N}])"
 _DONE = r"(?![\p{L}\p{N}])"
+# Where an address can start: after signs too, but not at a later part of a run of letters, digits and
+# signs, as the run's first part gives the same match or none. After a mention the rest of a run is new.
+_START = r"(?<![\p{L}\p{N}])(?:(?<![\p{L}\p{N}][._%+-]{1,16})|(?<=\G[._%+-]{1,16}))"
 _NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?"
 
 
@@ -69,7 +72,7 @@ def _after(titles: tuple[str, ...]) -> str:
 
 
 TYPES = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]+\.)+\p{L}[\p{L}\p{N}-]*",
+    "email": _START + r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[\p{L}\p{N}-]+\.)+\p{L}[\p{L}\p{N}-]*",
     "secret": _FREE + r"(?:AKIA[0-9A-Z]{16}|(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{32,128})" + _DONE,
     "iban": _FREE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _DONE,
     "ip": _FREE + r"(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)" + _DONE,
