@@ -112,6 +112,32 @@ def test_addresses_after_signs(docs_of):
     assert (got[50].text, got[50].n_entities) == (rows[6][1], 0)
 
 
+NAMED = [
+    (0, "Mr John Quincy Adams spoke"),
+    (1, "Mr J. Smith and Frau von Berg"),
+    (2, "Mr John Smith left. John Smith came; Smith's car, SMITH. Will Smithers"),
+    (3, "田中@example.jp śćżł@example.pl かな@example.jp محمد@example.sa"),
+    (4, "Mr J.R.R. Tolkien; J.R.R. Tolkien"),
+]
+
+
+def test_whole_names_and_other_scripts(docs_of):
+    got = {r.doc_id: r for r in surrogates.replace(docs_of(NAMED))[0].collect()}
+    first = re.fullmatch(r"Mr ([A-Z]\w+) ([A-Z]\w{5}) ([A-Z]\w{4}) spoke", got[0].text).groups()
+    assert not {"John", "Quincy", "Adams"} & set(first) and got[0].n_entities == 1
+    assert re.fullmatch(r"Mr [A-Z]\. [A-Z]\w{4} and Frau von [A-Z]\w{3}", got[1].text) and got[1].n_entities == 2
+    assert "Smith" not in got[1].text and "Berg" not in got[1].text
+    given, family = re.match(r"Mr (\w+) (\w+) left", got[2].text).groups()
+    assert got[2].text == f"Mr {given} {family} left. {given} {family} came; {family}'s car, {family.upper()}. Will Smithers"
+    assert family != "Smith" and got[2].n_entities == 4 and family in got[1].text
+    locals_ = [x.split("@")[0] for x in got[3].text.split()]
+    for mine, old in zip(locals_, ("田中", "śćżł", "かな", "محمد")):
+        assert mine != old and len(mine) == len(old)
+    assert all("\u3040" <= c <= "\u309f" for c in locals_[2]) and all("\u0600" <= c <= "\u06ff" for c in locals_[3])
+    full = re.match(r"Mr (.*); (.*)$", got[4].text).groups()
+    assert full[0] == full[1] and "Tolkien" not in got[4].text and re.match(r"[A-Z]\.[A-Z]\.[A-Z]\. [A-Z]", full[0])
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}

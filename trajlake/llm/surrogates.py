@@ -8,11 +8,17 @@ that spellings of one entity share a surrogate, in all documents. A surrogate ke
 * format: each digit gives a digit, each vowel a vowel, each consonant a consonant, signs
   stay, upper case stays; a card keeps its first digit and its checksum's remainder, an
   address its octets within 255 and their digits, a phone with ``+`` its first digit;
-* script: Latin, accented Latin, Cyrillic, Greek and Han letters stay in their script;
+* script: letters stay in their Unicode script (those of scripts not in ``SCRIPTS`` become
+  Latin ones, digits other than 0 to 9 become those);
 * gender: a name after a male or female form of address gets a given name of that gender
   (and script); surnames and mail domains have surrogates of their own, so that relatives
   and colleagues remain recognisable as such.
 
+A name has any number of capitalised words and initials, with particles such as "von" before
+them. Where a text has a name after a form of address, its surname and its words next to each
+other are also replaced elsewhere in that text, and count as mentions. A given name that stands
+alone is not, as many are words too ("Will", "May").
+
 Characters come from SHA-256 of key, type, normal form and attempt. Collisions are checked
 over the whole corpus: surrogates that equal another one, or any entity found, or their own
 original, are drawn again with the next attempt until none is left. From ``GROW`` attempts
@@ -25,6 +31,8 @@ names. Empty texts and texts without entities are unchanged. Equal texts get equ
 repeated rows stay repeated, an empty table gives an empty one. Texts are searched whole.
 """
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +63,27 @@ ALPHABETS = (
     "王李张刘陈杨黄赵周吴徐孙马朱胡郭何高林罗",
 )
 
+# Java's names of scripts; letters outside ALPHABETS are drawn from those of their script.
+SCRIPTS = (
+    "Latin", "Cyrillic", "Greek", "Hiragana", "Katakana", "Hangul", "Arabic", "Hebrew", "Armenian", "Georgian", "Devanagari", "Bengali",
+    "Gurmukhi", "Gujarati", "Oriya", "Tamil", "Telugu", "Kannada", "Malayalam", "Sinhala", "Thai", "Lao", "Tibetan", "Myanmar", "Khmer",
+    "Ethiopic",
+)
+
+
+def _letters(script: str) -> str:
+    """Up to 64 letters of a script that have no upper case or one of a single character."""
+    plain = [chr(c) for c in range(0x100, 0xD7A4) if unicodedata.name(chr(c), "").startswith(script.upper() + " ")]
+    plain = [c for c in plain if unicodedata.category(c) in ("Ll", "Lo") and (c.upper() == c or c.upper().lower() == c and len(c.upper()) == 1)]
+    return "".join(plain[:64])
+
+
+FALLBACK = {f"\\p{{Is{x}}}": _letters(x) for x in SCRIPTS} | {
+    r"\p{IsHan}": ALPHABETS[-1] + "田中山本村川口松木井石小大野原藤佐伊加美金池森安",
+    r"\p{L}": ALPHABETS[2],
+    r"\p{N}": ALPHABETS[0],
+}
+
 GROW = 2
 KEY = "trajlake"
 
@@ -63,12 +92,22 @@ _DONE = r"(?![\p{L}\p{N}])"
 # Where an address can start: after signs too, but not at a later part of a run of letters, digits and
 # signs, as the run's first part gives the same match or none. After a mention the rest of a run is new.
 _START = r"(?<![\p{L}\p{N}])(?:(?<![\p{L}\p{N}][._%+-]{1,16})|(?<=\G[._%+-]{1,16}))"
-_NAME = r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+)?"
+PARTICLES = (
+    "von", "vom", "zu", "zum", "zur", "van", "den", "der", "ter", "ten", "de", "des", "del", "della", "di", "da", "do", "dos", "das", "du",
+    "la", "le", "los", "las", "af", "av", "al", "el", "bin", "ibn", "ben", "фон", "де",
+)
+_PARTICLE = "(?:" + "|".join(PARTICLES) + ")"
+# A word with its apostrophes and hyphens, without the possessive's.
+_REST = r"(?:(?!['’]s(?!\p{L}))['’-]\p{L}+)*+"
+_WORD = r"(?:(?:\p{Lu}\.-?)++(?!\p{L})|(?:\p{Lu}\.-?)*\p{Lu}\p{L}*+" + _REST + ")"
+_NAME = f"(?:{_PARTICLE} )*+{_WORD}(?: (?:{_PARTICLE} )*+{_WORD})*+"
+#: Cuts any text into words and what is between them.
+TOKEN = r"\p{L}++" + _REST + r"|[^\p{L}]++"
 
 
 def _after(titles: tuple[str, ...]) -> str:
     # The capital is looked for first, as looking back is slow.
-    return r"(?=\p{Lu})(?<=(?<!\p{L})(?:" + "|".join(titles) + r")\.? )" + _NAME
+    return rf"(?<= )(?=\p{{Lu}}|{_PARTICLE} )(?<=(?<!\p{{L}})(?:" + "|".join(titles) + r")\.? )" + _NAME
 
 
 TYPES = {
@@ -88,7 +127,7 @@ def _hint() -> str:
     """A pattern that is quickly searched for and found wherever any type is."""
     titles = sorted({*MALE_TITLES, *FEMALE_TITLES, *PLAIN_TITLES})
     first = "".join(sorted({t[0] for t in titles} | {"A"}))
-    return rf"(?=[0-9@{first}])(?:[0-9@]|AKIA|(?:{'|'.join(titles)})\.? \p{{Lu}})"
+    return rf"(?=[0-9@{first}])(?:[0-9@]|AKIA|(?:{'|'.join(titles)})\.? \p{{L}})"
 
 
 HINT = _hint()
@@ -120,13 +159,17 @@ def normal_form(kind: Column, mention: Column) -> Column:
     return F.when(kind.isin("card", "ssn", "phone_plus", "phone", "iban"), F.regexp_replace(low, r"[^\p{L}\p{N}]", "")).otherwise(low)
 
 
-def filled(text: str, digest: str, keep: int | str = 0) -> str:
-    """SQL: ``text`` with each letter or digit from position ``keep`` on drawn anew from its own alphabet."""
-    draw = "pmod(xxhash64({d}, i), {n})"
+def filled(text: str, digest: str, keep: int | str = 0, by: str = "i") -> str:
+    """SQL: ``text`` with each letter or digit from position ``keep`` on drawn anew from its own alphabet, by position or letter ``c``."""
+    draw = f"pmod(xxhash64({{d}}, {by}), {{n}})"
     cases = " ".join(
         f"WHEN instr({_literal(a)}, c) > 0 THEN substr({_literal(a)}, cast({draw.format(d=digest, n=len(a))} as int) + 1, 1)"
         for a in ALPHABETS
     )
+    cases += " WHEN ascii(c) < 128 THEN c " + " ".join(
+        f"WHEN c rlike {_literal(pattern)} THEN substr({_literal(a)}, cast({draw.format(d=digest, n=len(a))} as int) + 1, 1)"
+        for pattern, a in FALLBACK.items()
+    )
     return f"array_join(transform(filter(split({text}, ''), c -> c != ''), (c, i) -> CASE WHEN i < {keep} THEN c {cases} ELSE c END), '')"
 
 
@@ -157,15 +200,13 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
             "_local": F.substring_index("norm", "@", 1),
             "_host": F.regexp_extract("norm", r"@(.*)\.[^.]*$", 1),
             "_last": F.regexp_extract("norm", r"(\.[^.]*)$", 1),
-            "_given": F.when(F.instr("norm", " ") > 0, F.substring_index("norm", " ", 1)).otherwise(""),
-            "_family": F.substring_index("norm", " ", -1),
+            "_given": F.when(F.col("norm").rlike(rf"^(?!{_PARTICLE} )[^ .]+ "), F.substring_index("norm", " ", 1)).otherwise(""),
         }
     )
     rows = rows.withColumns(
         {
             "_hd": F.sha2(F.concat_ws("|", F.lit(key), F.lit("host"), "_host"), 256),
             "_gd": F.sha2(F.concat_ws("|", F.lit(key), F.lit("given"), "type", "_given", F.col("attempt").cast("string")), 256),
-            "_fd": F.sha2(F.concat_ws("|", F.lit(key), F.lit("family"), "_family"), 256),
         }
     )
     octets = (
@@ -185,8 +226,17 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
         pick = F.element_at(F.array(*map(F.lit, names)), (F.pmod(F.xxhash64("_gd"), F.lit(len(names))) + 1).cast("int"))
         given = F.when(fits, F.lower(pick)).otherwise(given)
     # Attempts after the first also change the family's surrogate.
-    family = "if(attempt = 0, _fd, _d)"
-    name = F.trim(F.concat(F.when(F.col("_given") != "", F.concat(given, F.lit(" "))).otherwise(""), F.expr(filled("_family", family)), F.expr(more)))
+    own = f"sha2(concat_ws('|', {_literal(key)}, 'family', w), 256)"
+    family = f"if(attempt > 0 and j = size(split(norm, ' ')) - 1, _d, {own})"
+    # Equal initials of a name get equal ones, so that each word has one surrogate in a text.
+    initials = f"if(attempt > 0 and j = size(split(norm, ' ')) - 1, _d, sha2({_literal(key + '|initial')}, 256))"
+    particles = ", ".join(map(_literal, PARTICLES))
+    rows = rows.withColumn("_g", given)
+    words = (
+        "array_join(transform(split(norm, ' '), (w, j) -> CASE WHEN j = 0 and _given != '' THEN _g "
+        f"WHEN w in ({particles}) THEN w WHEN w rlike '^(.[.]-?)+$' THEN {filled('w', initials, by='c')} ELSE {filled('w', family)} END), ' ')"
+    )
+    name = F.concat(F.expr(words), F.expr(more))
     email = F.concat(F.expr(filled("_local", "_d")), F.expr(more), F.lit("@"), F.expr(filled("_host", "_hd")), F.col("_last"))
     sub = (
         F.when(F.col("type") == "email", email)
@@ -234,8 +284,14 @@ def rendered(kind: str = "type", mention: str = "mention", sub: str = "sub") ->
         f"CASE WHEN c rlike {signs} THEN c WHEN c != lower(c) THEN upper({letter}) ELSE {letter} END), '')"
     )
     shout = F.col(mention) == F.upper(mention)
+    words = F.expr(
+        f"array_join(zip_with(split({mention}, ' '), split({sub}, ' '), (m, s) -> CASE WHEN m = lower(m) THEN s "
+        "WHEN m = upper(m) and m rlike '\\\\p{L}.*\\\\p{L}' THEN upper(s) WHEN length(m) != length(s) THEN initcap(s) "
+        "ELSE array_join(transform(filter(split(m, ''), c -> c != ''), (c, i) -> "
+        "if(c != lower(c), upper(substr(s, i + 1, 1)), substr(s, i + 1, 1))), '') END), ' ')"
+    )
     return (
-        F.when(F.col(kind).startswith("name"), F.when(shout, F.upper(sub)).otherwise(F.initcap(sub)))
+        F.when(F.col(kind).startswith("name"), words)
         .when((F.col(kind) == "email") & (F.char_length(sub) != F.char_length(mention)), F.when(shout, F.upper(sub)).otherwise(F.col(sub)))
         .when(F.col(kind) == "ip", F.col(sub))
         .otherwise(laid)
@@ -252,6 +308,35 @@ def _split(text: str) -> dict[str, Column]:
     return {"_parts": F.split(text, ANY, -1), "_found": mentions(F.col(text))}
 
 
+def _tokens(text: str) -> str:
+    return f"regexp_extract_all({text}, {_literal(TOKEN)}, 0)"
+
+
+def name_words(spelled: DataFrame) -> DataFrame:
+    """``_k, _words``: per text a map from each word of its names to its surrogate and whether it is a surname."""
+    pairs = F.expr(
+        f"filter(transform({_tokens('mention')}, (w, i) -> named_struct('w', w, 's', get({_tokens('sub')}, i), "
+        f"'f', i = size({_tokens('mention')}) - 1 and length(w) > 1)), x -> x.w rlike '\\\\p{{L}}' and x.s is not null)"
+    )
+    listed = spelled.where(F.col("type").startswith("name")).select("_k", "pos", F.explode(pairs).alias("_p")).select("_k", "pos", "_p.*")
+    loud = listed.select("_k", "pos", F.upper("w").alias("w"), F.upper("s").alias("s"), "f")
+    once = listed.unionByName(loud).groupBy("_k", "w").agg(F.min(F.struct("pos", "s"))["s"].alias("s"), F.max("f").alias("f"))
+    return once.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("w", F.struct("s", "f")))).alias("_words"))
+
+
+def _with_bare(parts: str, words: str) -> str:
+    """SQL: ``text, n`` per part: the part with bare mentions replaced, and their number. A run of words is one mention."""
+    near = "coalesce(get(y.t, {a}) in (' ', '. ', '.') and get(y.m, {b}) is not null, false)"
+    hit = f"(x is not null and (x.f or {near.format(a='i - 1', b='i - 2')} or {near.format(a='i + 1', b='i + 2')}))"
+    looked = f"transform({parts}, p -> transform(array({_tokens('p')}), t -> named_struct('t', t, 'm', transform(t, x -> try_element_at({words}, x))))[0])"
+    judged = f"transform({looked}, y -> named_struct('t', y.t, 'm', y.m, 'h', transform(y.m, (x, i) -> {hit})))"
+    first = "get(y.h, i) and not coalesce(get(y.t, i - 1) in (' ', '. ', '.') and get(y.h, i - 2), false)"
+    return (
+        f"transform({judged}, y -> named_struct('text', array_join(transform(y.t, (t, i) -> if(get(y.h, i), get(y.m, i).s, t)), ''), "
+        f"'n', size(filter(y.t, (t, i) -> {first}))))"
+    )
+
+
 def replace(docs: DataFrame, key: str = KEY, column: str = "text", count_as: str = "n_entities") -> tuple[DataFrame, DataFrame]:
     """``docs`` with surrogates in ``column`` and the number of mentions in ``count_as``; and ``type, norm, sub``.
 
@@ -268,12 +353,18 @@ def replace(docs: DataFrame, key: str = KEY, column: str = "text", count_as: str
     seen = seen.withColumn("type", typed(F.col("mention"), F.col("before"))).withColumn("norm", normal_form(F.col("type"), F.col("mention")))
     seen = save(seen.select("_k", "pos", "type", "mention", "norm").distinct(), "mentions")
     known = assigned(seen.select("type", "norm").distinct(), key)
-    spelled = seen.join(known, ["type", "norm"]).select("_k", "pos", rendered().alias("sub"))
+    spelled = seen.join(known, ["type", "norm"]).select("_k", "pos", "type", "mention", rendered().alias("sub"))
+    spelled = save(spelled, "spelled")
     ready = spelled.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sub"))), lambda x: x["sub"]).alias("_subs"))
+    ready = ready.join(name_words(spelled), "_k", "left")
     clean = rows.where(~touched).select("_row", "_t", F.lit(0).alias("_n"))
     dirty = rows.where(touched).withColumn("_k", _key(F.col("_t"))).join(ready, "_k", "left").withColumn("_parts", F.split("_t", ANY, -1))
     # One part more than surrogates: the mentions themselves are in neither.
     woven = F.expr("array_join(zip_with(_parts, _subs, (p, s) -> concat(p, coalesce(s, ''))), '')")
-    dirty = dirty.select("_row", woven.alias("_t"), (F.size("_parts") - 1).alias("_n"))
+    named = F.col("_words").isNotNull()
+    dirty = dirty.withColumn("_bare", F.when(named, F.expr(_with_bare("_parts", "_words"))))
+    dirty = dirty.withColumn("_parts", F.when(named, F.col("_bare.text")).otherwise(F.col("_parts")))
+    bare = F.when(named, F.aggregate("_bare.n", F.lit(0), lambda a, n: a + n)).otherwise(0)
+    dirty = dirty.select("_row", woven.alias("_t"), (F.size("_parts") - 1 + bare).alias("_n"))
     kept = [F.col("_t").alias(c) if c == column else F.col("_row")[c].alias(c) for c in docs.columns if c != count_as]
     return clean.unionByName(dirty).select(*kept, F.col("_n").alias(count_as)), known
