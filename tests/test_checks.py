@@ -122,6 +122,14 @@ def test_pose_velocity_and_limits(spark, blocks):
     assert data.speed_limits(rec, 2.1, 370).where("severity = 'WARN'").count() == 0
 
 
+def test_speed_limits_count_all_events(spark):
+    _, names = pose_frames(spark)
+    rows = [("d", 0, i, i / 4, [float(i), 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0]) for i in range(13)]
+    f = spark.createDataFrame(rows, "dataset string, episode_index long, position long, timestamp double, action array<double>")
+    found = data.speed_limits(Recording(frames=f, infos=infos(spark, 4.0), names=names)).where("severity = 'WARN'").collect()
+    assert [r["events"] for r in found] == [12] * 5
+
+
 def test_world_frame_turn(spark):
     # A quarter turn about y, then one about its own x: -180 deg/s about world z in half a second.
     rows = [

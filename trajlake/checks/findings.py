@@ -92,8 +92,12 @@ def finding(
     *message,
     column: str | Column | None = None,
     dim: Column | None = None,
+    events: Column | None = None,
 ) -> DataFrame:
-    """Rows of ``df`` as findings; ``message`` parts are texts and columns put together."""
+    """Rows of ``df`` as findings; ``message`` parts are texts and columns put together.
+
+    ``events`` is the full number of events where a check lists only the worst ones.
+    """
 
     def literal(x, dtype):
         if isinstance(x, str):
@@ -112,6 +116,7 @@ def finding(
         literal(metric, "string").alias("metric"),
         value.cast("double").alias("value"),
         F.concat(*parts).alias("message"),
+        literal(events, "long").cast("long").alias("events"),
     )
 
 
