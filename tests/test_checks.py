@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import frames_of, sorted_rows
+from helpers import frames_of, sorted_rows
 from trajlake.checks import data, files, report
 from trajlake.checks.findings import Recording, affected_episodes, check_summary
 from trajlake.operators import duplicates as dup

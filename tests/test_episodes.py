@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import frames_of, sorted_rows
+from helpers import frames_of, sorted_rows
 from trajlake.operators import annotations, corpus, episodes, insights, segments, series, stats
 from trajlake.operators.blocks import KEYS, as_of, exact_ranks, positions
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import sorted_rows
+from helpers import sorted_rows
 from trajlake.checks import files
 from trajlake.checks.findings import Recording
 from trajlake.sources import readers, sidecars, sinks

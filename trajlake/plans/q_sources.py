@@ -456,7 +456,7 @@ CLEAN = "regexp_replace(t, '\\s+', '_', 'g')"
     "f06_clean_tags",
     sql(
         TAGS,
-        f"""SELECT dataset, CASE WHEN bal >= 0 THEN {CLEAN} END AS task, CASE WHEN bal >= 0 THEN substr(repeat('long_scene_', 10), 1, 50) END AS scene,
+        f"""SELECT dataset, CASE WHEN bal >= 0 THEN {CLEAN} END AS task, CASE WHEN bal >= 0 THEN rtrim(repeat('long_scene_', 10), '_') END AS scene,
   CASE WHEN bal >= 0 THEN 'cup,' || {CLEAN} ELSE '' END AS objects FROM t1""",
     ),
 )
