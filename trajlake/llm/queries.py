@@ -4,7 +4,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm import cascade, dartminhash, gam, hmm, imatch, impact, mixing, patterns, seekable, surrogates
+from trajlake.llm import (
+    cascade,
+    collocations,
+    dartminhash,
+    gam,
+    hmm,
+    imatch,
+    impact,
+    mixing,
+    patterns,
+    seekable,
+    spelling,
+    surrogates,
+    treebpe,
+)
 from trajlake.llm.common import remainder, save, table
 from trajlake.plans.registry import query
 
@@ -103,6 +117,94 @@ def op10_dart_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return dartminhash.classed(table(spark, sf, "documents")).select("doc_id", "class_id")
 
 
+OP11_SQL = r"""
+with recursive crc_table as (
+  select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+), runs as (
+  select doc_id, run, count(*) as c from (
+    select coalesce(doc_id::varchar, '') as doc_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run from documents)
+  where length(run) >= 5 group by all
+), bytes as (
+  select *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda ch:
+    case when unicode(ch) < 128 then [unicode(ch)::bigint] else [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)]::bigint[] end)) as b from runs
+), hashed as (
+  select run, c, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda s, x: xor(t[(xor(s, x) & 255) + 1], s >> 8)), 4294967295) as h
+  from bytes, crc_table
+), words as (
+  select word, sum(c)::bigint as n from (
+    select c, case when h % 97 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from hashed)
+  where length(word) >= 5 group by word having sum(c) >= 3
+), cuts as (
+  select word, n, length(word) as len, i, left(word, i::int) || substr(word, i::int + 2) as rest from words, unnest(range(length(word))) as u(i)
+), near as (
+  select a.word, b.word as near, b.n as near_n from cuts a join cuts b on a.len = b.len and a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word, b.n from words a join cuts b on a.word = b.rest
+  union select b.word, a.word, a.n from words a join cuts b on a.word = b.rest
+), best as (
+  select word, count(*) as n_near, first(near order by near_n desc, near) as near, max(near_n) as near_n from near group by word
+), formed as (
+  select w.word, case when b.near_n >= 2 * w.n then b.near end as form, w.n, coalesce(b.n_near, 0)::bigint as n_near,
+         case when b.near_n >= 2 * w.n then b.near_n end as form_n from words w left join best b using (word)
+), up(word, last, depth) as (
+  select word, word, 0 from formed
+  union all select u.word, f.form, u.depth + 1 from up u join formed f on u.last = f.word where f.form is not null
+), chain as (
+  select word, first(last order by depth desc) as root from up group by word
+)
+select word, form, root, n, n_near, form_n from formed join chain using (word)
+"""
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+@query("op12_tree_bpe")
+def op12_tree_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return treebpe.digests(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+OP13_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') as w from (
+    select lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) as piece from documents)
+), placed as (
+  select lang, w, unnest(range(1, len(w) + 1)) as i from pieces
+), grams as (
+  select lang, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') as phrase, k, count(*) as f
+  from placed, unnest([1, 2, 3, 4, 5]) as u(k) where i + k - 1 <= len(w) group by all
+), totals as (
+  select lang, sum(f)::hugeint as n from grams where k = 1 group by lang
+), cand as (
+  select lang, phrase, string_split(phrase, ' ') as w, k as size, f as a from grams where k >= 2 and f >= 100
+), cuts as (
+  select c.lang, c.phrase, c.a, c.size, j, l.f as l, r.f as r, n, (1000::hugeint * c.a * n) // (l.f::hugeint * r.f) as score
+  from (select *, unnest(range(1, size)) as j from cand) c
+  join grams l on l.lang = c.lang and l.phrase = list_aggregate(c.w[1:c.j], 'string_agg', ' ')
+  join grams r on r.lang = c.lang and r.phrase = list_aggregate(c.w[c.j + 1:], 'string_agg', ' ')
+  join totals t on t.lang = c.lang
+), lowest as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1
+), parts as (
+  select lang, a as longer, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') as phrase
+  from cand, unnest([2, 3, 4]) as u(k), unnest([1, 2, 3, 4]) as v(i) where k < size and i + k - 1 <= size
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n::bigint as n, score::bigint as score
+from lowest o where not exists (select 1 from parts p where p.lang = o.lang and p.phrase = o.phrase and 100 * p.longer >= 100 * o.a)
+qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.mined(table(spark, sf, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
