@@ -6,13 +6,14 @@ windows begin with it, so Spark's ROLLUP over the window's columns sums the wind
 shorter phrases, the words and the total of each language. No n-gram is exploded by itself.
 
 Most windows are rare in all but their first columns. A window therefore ends (is padded)
-before the first pair of neighbouring words that occurs less than ``least`` times: no
-phrase with such a pair can be a candidate, and phrases without one still begin all of
-their windows, so counts of all words and of all candidates and their parts stay exact.
-The pairs are counted by a 64-bit hash over the whole corpus first; those that reach
-``least`` set a bit in a map of ``MAP_BITS`` bits, which is what tasks get. Two pairs
-that share a bit or a hash only make a window longer than it need be. The map has a fixed
-size, whatever the corpus.
+before the first word, pair or triple of neighbouring words that occurs less than
+``least`` times: no phrase with such a part can be a candidate, and phrases without one
+still begin all of their windows, so the counts of all candidates, of their parts and of
+each language stay exact. Rare parts are found by counting hashes over the whole corpus,
+words first, then pairs of frequent words, then triples of frequent pairs. Those that
+reach ``least`` set a bit in a map of ``MAP_BITS`` bits, which is what tasks get. Parts
+that share a bit or a hash only make a window longer than it need be. The map has a
+fixed size, whatever the corpus.
 
 Words lie between spaces and tabs inside of pieces, pieces between any of ``.,;:!?`` and
 \\x0A-\\x0D; A-Z are lower-cased. Null texts have no words, a null language counts as
@@ -26,20 +27,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import save, whole_text
-from trajlake.llm.words import mix64
+from trajlake.llm.words import Words, mix64
 
 LONGEST = 5  # words in a phrase
 LEAST = 100  # occurrences of a candidate
 SCALE = 1000
 TOP = 2000
 MAP_BITS = 1 << 28  # 32 MB
-SLOT_SHIFT = 64 - 28  # the top bits of a pair's hash are its slot
-SLICE_BYTES = 1 << 22
-PAIRS_KEPT = 1 << 21  # pair hashes a task sums up before it hands them on
+HASH_BITS = 40
+SLOT_SHIFT = HASH_BITS - 28  # the top bits of a hash are its place in the map
+PRUNED = 3  # windows are cut at rare parts of up to so many words
+SLICE_BYTES = 1 << 21
+HASHES_KEPT = 1 << 21  # hashes a task sums up before it hands them on
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 SPACES = b" \t"
@@ -85,9 +89,11 @@ class Sliced:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each distinct word."""
-        import xxhash
-
-        return np.array([xxhash.xxh3_64_intdigest(w) for w in self.words.cast(pa.binary()).to_pylist()], np.uint64)
+        _, offsets, body = self.words.buffers()
+        edges = np.frombuffer(offsets, np.int32)[: len(self.words) + 1].astype(np.int64)
+        raw = np.frombuffer(body, np.uint8)[: edges[-1]] if len(self.words) else np.zeros(0, np.uint8)
+        found = Words(1, raw, edges[:-1], edges[1:], np.zeros(len(self.words), np.int64))
+        return found.hashes()
 
 
 def _cuts(raw: np.ndarray, text_starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -120,15 +126,31 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[Sliced]:
         yield Sliced(raw[first:last], here - first)
 
 
-def _pairs(sliced: Sliced, lang: str) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the first word, hash of the pair) of all neighbouring words of a piece."""
+def _is_frequent(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes >> np.uint64(SLOT_SHIFT)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _parts(sliced: Sliced, lang: str, bits: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For k = 1 to ``most``: the words at which k words follow each other whose shorter parts are all in the map, and their hashes."""
     import xxhash
 
-    own = mix64(sliced.hashes() ^ np.uint64(xxhash.xxh3_64_intdigest(lang)))
-    at = np.flatnonzero(sliced.follows)
-    first, second = own[sliced.codes[at]], own[sliced.codes[at + 1]]
-    with np.errstate(over="ignore"):
-        return at, mix64(first * np.uint64(3) + mix64(second))
+    word = mix64(sliced.hashes() ^ np.uint64(xxhash.xxh3_64_intdigest(lang)))[sliced.codes]
+    short = np.uint64(64 - HASH_BITS)
+    whole = word
+    places = np.arange(len(word))
+    for k in range(1, most + 1):
+        yield places, whole[places] >> short
+        if k == most:
+            return
+        frequent = np.zeros(len(word) + 1, bool)
+        frequent[places] = _is_frequent(bits, whole[places] >> short)
+        places = places[frequent[places] & frequent[places + 1]]
+        places = places[sliced.follows[places + k - 1]]
+        with np.errstate(over="ignore"):
+            longer = np.zeros_like(whole)
+            longer[places] = mix64(whole[places] * np.uint64(3) + mix64(word[places + k]))
+        whole = longer
 
 
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
@@ -137,65 +159,71 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
         yield lang, batch["text"].filter(pc.equal(langs, lang))
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """``(pair, n)``: hashes of neighbouring words of a language and how often they occur, summed per task."""
+def part_counts(texts: DataFrame, size: int, bits: Broadcast) -> DataFrame:
+    """``(part, n)``: hashes of ``size`` neighbouring words whose shorter parts are in the map, and how often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
 
         def summed() -> pa.RecordBatch:
-            pair, n = np.unique(np.concatenate(kept), return_counts=True)
+            part, n = np.unique(np.concatenate(kept), return_counts=True)
             kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n.astype(np.int64))], ["pair", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(n.astype(np.int64))], ["part", "n"])
 
         for batch in batches:
             for lang, column in _by_lang(batch):
                 for sliced in slices(column):
-                    kept.append(_pairs(sliced, lang)[1])
-                    if sum(map(len, kept)) >= PAIRS_KEPT:
+                    *_, (_, hashes) = _parts(sliced, lang, bits.value, size)
+                    kept.append(hashes)
+                    if sum(map(len, kept)) >= HASHES_KEPT:
                         yield summed()
         if kept:
             yield summed()
 
-    partial = texts.mapInArrow(run, "pair long, n long")
-    return partial.groupBy("pair").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
 
 
-def frequent_map(counts: DataFrame, least: int) -> np.ndarray:
-    """Bits of the pairs that occur ``least`` times, by the top bits of their hash: at most ``MAP_BITS``."""
-    # The bitmap functions count slots from 1.
-    slot = F.shiftrightunsigned("pair", SLOT_SHIFT) + 1
+def mark_frequent(bits: np.ndarray, counts: DataFrame, least: int) -> None:
+    """Set the bits of the parts that occur ``least`` times. Rows that come to the driver are parts of a map, at most ``MAP_BITS`` in all."""
+    # The bitmap functions count from 1.
+    slot = F.shiftrightunsigned("part", SLOT_SHIFT) + 1
     frequent = counts.where(F.col("n") >= least).select(slot.alias("slot"))
-    parts = frequent.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-    out = np.zeros(MAP_BITS // 8, np.uint8)
-    for row in parts.toLocalIterator():
+    pieces = frequent.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    for row in pieces.collect():
         at = (row.bucket - 1) * len(row.bits)
-        out[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
-    return out
+        bits[at : at + len(row.bits)] |= np.frombuffer(row.bits, np.uint8)
 
 
-def _is_frequent(bits: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    slot = pair >> np.uint64(SLOT_SHIFT)
-    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def frequent_map(texts: DataFrame, least: int, pruned: int = PRUNED) -> Broadcast:
+    """The map of frequent parts of up to ``pruned`` words."""
+    context = texts.sparkSession.sparkContext
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    shared = context.broadcast(bits)
+    for size in range(1, pruned + 1):
+        mark_frequent(bits, part_counts(texts, size, shared), least)
+        shared = context.broadcast(bits)
+    return shared
 
 
-def _windows(sliced: Sliced, lang: str, bits: np.ndarray, longest: int) -> pa.RecordBatch:
+def _windows(sliced: Sliced, lang: str, bits: np.ndarray, longest: int, pruned: int) -> pa.RecordBatch:
     """Distinct windows of a slice with their counts; columns past the end of a window are empty."""
     n = len(sliced.codes)
-    going = np.zeros(n, bool)
-    at, pair = _pairs(sliced, lang)
-    going[at[_is_frequent(bits, pair)]] = True
     pad = len(sliced.words)
-    columns = [sliced.codes]
-    alive = going
-    for k in range(1, longest):
+    columns = []
+    alive = np.ones(n, bool)
+    parts = _parts(sliced, lang, bits, pruned)
+    for k in range(longest):
+        if k < pruned:
+            places, hashes = next(parts)
+            frequent = np.zeros(n + longest, bool)
+            frequent[places] = _is_frequent(bits, hashes)
+        # The last (up to ``pruned``) words of the window so far.
+        ahead = max(0, k + 1 - pruned)
+        alive = alive & frequent[ahead : ahead + n]
+        at = np.flatnonzero(alive)
         lead = np.full(n, pad, np.int64)
-        places = np.flatnonzero(alive)
-        lead[places] = sliced.codes[places + k]
+        lead[at] = sliced.codes[at + k]
         columns.append(lead)
-        ahead = np.zeros(n, bool)
-        ahead[: n - k] = going[k:]
-        alive = alive & ahead
     # Distinct windows: columns are joined one by one to dense numbers of the windows so far.
     number, count_of = columns[0], pad + 1
     for lead in columns[1:]:
@@ -215,27 +243,30 @@ def _windows(sliced: Sliced, lang: str, bits: np.ndarray, longest: int) -> pa.Re
 
 
 def phrase_counts(texts: DataFrame, least: int, longest: int = LONGEST) -> DataFrame:
-    """``(lang, words, n)``: counts of all words, of phrases that occur ``least`` times, and of all words together (no words).
+    """``(lang, words, n)``: counts of words and phrases that occur ``least`` times, and of all words together (no words).
 
     ``texts`` has columns ``lang`` and ``text``, neither null.
     """
-    bits = texts.sparkSession.sparkContext.broadcast(frequent_map(pair_counts(texts), least))
+    bits = frequent_map(texts, least)
+    pruned = PRUNED
     columns = [f"w{k + 1}" for k in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, column in _by_lang(batch):
                 for sliced in slices(column):
-                    yield _windows(sliced, lang, bits.value, longest)
+                    yield _windows(sliced, lang, bits.value, longest, pruned)
 
     schema = ", ".join(["lang string", *[f"{c} string" for c in columns], "n long"])
     windows = texts.mapInArrow(run, schema).groupBy("lang", *columns).agg(F.sum("n").alias("n"))
     rolled = windows.rollup("lang", *columns).agg(F.sum("n").alias("n"), F.grouping_id().alias("_left"))
-    # grouping_id has one bit per column summed away: 2^j - 1 for the last j columns.
+    # grouping_id has one bit per column summed away. Sums that end in a pad are none of a
+    # phrase; this filter is of grouping columns only, so they are left out before the shuffle.
     size = F.lit(longest) - F.bit_count("_left")
-    found = F.slice(F.array(*columns), F.lit(1), F.greatest(size, F.lit(0)).cast("int"))
-    sums = rolled.where((size >= 0) & ((F.col("n") >= least) | (size == 0))).select("lang", found.alias("words"), "n")
-    return sums.where((F.size("words") == 0) | (F.get("words", F.size("words") - 1) != ""))
+    last = F.coalesce(*[F.col(c) for c in reversed(columns)], F.lit("."))
+    sums = rolled.where((F.bit_count("_left") <= longest) & (last != ""))
+    found = F.slice(F.array(*columns), F.lit(1), size.cast("int"))
+    return sums.where((F.col("n") >= least) | (size == 0)).select("lang", found.alias("words"), "n")
 
 
 def candidates(counts: DataFrame, least: int, scale: int = SCALE) -> DataFrame:
