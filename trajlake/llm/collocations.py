@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import save, whole_text
-from trajlake.llm.words import Words, mix64
+from trajlake.llm.words import mix64
 
 LONGEST = 5  # words in a phrase
 LEAST = 100  # occurrences of a candidate
@@ -42,8 +42,8 @@ MAP_BITS = 1 << 28  # 32 MB
 HASH_BITS = 40
 SLOT_SHIFT = HASH_BITS - 28  # the top bits of a hash are its place in the map
 PRUNED = 3  # windows are cut at rare parts of up to so many words
-SLICE_BYTES = 1 << 21
-HASHES_KEPT = 1 << 21  # hashes a task sums up before it hands them on
+SLICE_BYTES = 1 << 20
+HASHES_KEPT = 1 << 20  # hashes a task sums up before it hands them on
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 SPACES = b" \t"
@@ -53,6 +53,7 @@ _KIND[list(SPACES)] = 1
 _KIND[list(BREAKS)] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 # Words of texts.
@@ -89,11 +90,16 @@ class Sliced:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each distinct word."""
+        if not len(self.words):
+            return np.zeros(0, np.uint64)
         _, offsets, body = self.words.buffers()
         edges = np.frombuffer(offsets, np.int32)[: len(self.words) + 1].astype(np.int64)
-        raw = np.frombuffer(body, np.uint8)[: edges[-1]] if len(self.words) else np.zeros(0, np.uint8)
-        found = Words(1, raw, edges[:-1], edges[1:], np.zeros(len(self.words), np.int64))
-        return found.hashes()
+        lengths = np.diff(edges)
+        place = np.arange(edges[-1]) - np.repeat(edges[:-1], lengths)
+        with np.errstate(over="ignore"):
+            weights = np.cumprod(np.full(lengths.max(), _BASE, np.uint64))
+            terms = (np.frombuffer(body, np.uint8)[: edges[-1]] + np.uint64(1)) * weights[place]
+            return mix64(np.add.reduceat(terms, edges[:-1]))
 
 
 def _cuts(raw: np.ndarray, text_starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -198,9 +204,10 @@ def frequent_map(texts: DataFrame, least: int, pruned: int = PRUNED) -> Broadcas
     """The map of frequent parts of up to ``pruned`` words."""
     context = texts.sparkSession.sparkContext
     bits = np.zeros(MAP_BITS // 8, np.uint8)
-    shared = context.broadcast(bits)
+    shared = context.broadcast(None)  # words have no shorter parts
     for size in range(1, pruned + 1):
         mark_frequent(bits, part_counts(texts, size, shared), least)
+        shared.unpersist()
         shared = context.broadcast(bits)
     return shared
 
