@@ -69,7 +69,9 @@ def root(tmp_path_factory):
 
 
 def test_discovery(spark, root):
-    assert sorted(r["dataset"] for r in readers.discover(spark, root).collect()) == ["org/new set", "org/old"]
+    found = ["org/new set", "org/old"]
+    assert sorted(r["dataset"] for r in readers.discover(spark, root).collect()) == ["a/b/c/d", *found]
+    assert sorted(r["dataset"] for r in readers.discover(spark, root, depth=3).collect()) == found
 
 
 def test_infos(spark, root):

@@ -1,5 +1,6 @@
 """Queries over readers, sidecars, sinks, series and small column functions."""
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -61,6 +62,101 @@ def frame_scan(spark, sf):
     )
 
 
+V2_PATH = "data/chunk-{episode_chunk:03d}/episode_{episode_index:06d}.parquet"
+
+
+def write_info(spark, root, dataset, version, data_path):
+    info = {"codebase_version": version, "fps": 10, "data_path": data_path, "features": {"action": {"dtype": "float32", "shape": [3]}}}
+    sinks.write_text(spark, f"{root}/{dataset}/meta/info.json", json.dumps(info))
+
+
+def mixed_root(spark, sf):
+    """Three recordings under one root that share neither layout nor stored types.
+
+    A: shared files of float vectors. N: a file per episode with no episode numbers, whole
+    numbers as int. R: a file per episode of double vectors. Each has tables beside its
+    frames that are none.
+    """
+
+    def build():
+        root = fresh_path(spark)
+        frames = li_frames(spark, sf).select(*KEYS, "position", "frame_index", "timestamp", "task_index", "action")
+        f = frames.withColumn("_along", F.col("episode_index"))
+        g = positions(f, ["episode_index", "position"], F.col("_along"), ["dataset"], "index").drop("_along")
+        shared = paths.v3_data_path(F.floor(F.col("episode_index") / 50), F.floor(F.col("episode_index") / 10))
+        own = paths.v2_data_path(F.lit(V2_PATH), F.col("episode_index"), F.lit(1000))
+        whole = cut(g.withColumn("file", F.when(F.col("dataset") == "A", shared).otherwise(own)))
+        a = whole.where("dataset = 'A'").withColumn("action", F.col("action").cast("array<float>")).drop("dataset", "position")
+        n = whole.where("dataset = 'N'").withColumn("frame_index", F.col("frame_index").cast("int")).drop("dataset", "position", "episode_index")
+        for name, rows in (("A", a), ("N", n), ("R", whole.where("dataset = 'R'").drop("dataset", "position"))):
+            sinks.write_files(rows, f"{root}/{name}", order=["index"])
+        other = spark.createDataFrame([("not frames", "meta/extra.parquet"), ("nor these", "data/notes/list.parquet")], "action string, file string")
+        for name, version, path in (("A", "v3.0", paths.V3_DATA), ("N", "v2.1", V2_PATH), ("R", "v2.0", V2_PATH)):
+            sinks.write_files(other, f"{root}/{name}")
+            write_info(spark, root, name, version, path)
+        return spark.createDataFrame([(root,)], "root string")
+
+    return cut_once("mixed_root", sf, build).first()["root"]
+
+
+@query(
+    "s02_frame_scan_v2",
+    sql(
+        LI,
+        f"""SELECT dataset, episode_index, position, {r('position / 10.0')} AS timestamp, q AS first_value,
+  CASE WHEN dataset = 'A' THEN 'data/chunk-' || lpad(CAST(episode_index // 50 AS VARCHAR), 3, '0') || '/file-' || lpad(CAST(episode_index // 10 AS VARCHAR), 3, '0')
+       ELSE 'data/chunk-' || lpad(CAST(episode_index // 1000 AS VARCHAR), 3, '0') || '/episode_' || lpad(CAST(episode_index AS VARCHAR), 6, '0') END || '.parquet' AS file
+FROM li""",
+    ),
+)
+def frame_scan_v2(spark, sf):
+    out = readers.read_frames(spark, mixed_root(spark, sf), ["action"])
+    return rounded(
+        out.select(*KEYS, "position", "timestamp", F.col("action")[0].cast("double").alias("first_value"), "file"), "timestamp"
+    )
+
+
+@query(
+    "u02_file_columns",
+    sql(
+        LI,
+        """SELECT dataset, file, c AS "column", CASE WHEN c = 'action' THEN CASE dataset WHEN 'A' THEN 'float' ELSE 'double' END
+    WHEN c = 'timestamp' THEN 'double' WHEN c = 'frame_index' AND dataset = 'N' THEN 'integer' ELSE 'long' END AS kind
+FROM (SELECT DISTINCT dataset, CASE WHEN dataset = 'A' THEN 'data/chunk-' || lpad(CAST(episode_index // 50 AS VARCHAR), 3, '0') || '/file-' || lpad(CAST(episode_index // 10 AS VARCHAR), 3, '0')
+       ELSE 'data/chunk-' || lpad(CAST(episode_index // 1000 AS VARCHAR), 3, '0') || '/episode_' || lpad(CAST(episode_index AS VARCHAR), 6, '0') END || '.parquet' AS file FROM li),
+  unnest(['action', 'timestamp', 'frame_index', 'index', 'task_index', 'episode_index']) AS u(c) WHERE NOT (dataset = 'N' AND c = 'episode_index')""",
+    ),
+)
+def file_columns(spark, sf):
+    return readers.read_columns(spark, mixed_root(spark, sf)).select("dataset", "file", "column", "kind")
+
+
+@query(
+    "j01_located_load",
+    sql(
+        LI + """,
+gx AS (SELECT dataset, episode_index, position, q, row_number() OVER (PARTITION BY dataset ORDER BY episode_index, position) - 1 AS gi FROM li)""",
+        """SELECT dataset, episode_index, dataset = 'R' AS rescanned, count(*) AS frames, CAST(sum(gi) AS BIGINT) AS index_sum,
+  CAST(max(position) AS BIGINT) AS last_position FROM gx WHERE episode_index % 3 = 0 GROUP BY 1, 2""",
+    ),
+)
+def located_load(spark, sf):
+    # Every third episode by its place; the places of one dataset name files that do not exist.
+    root = mixed_root(spark, sf)
+    f = li_frames(spark, sf).select(*KEYS, "position").withColumn("_along", F.col("episode_index"))
+    g = positions(f, ["episode_index", "position"], F.col("_along"), ["dataset"], "index")
+    spans = g.groupBy(*KEYS).agg(F.min("index").alias("from_index"), (F.max("index") + 1).alias("to_index"))
+    shared = paths.v3_data_path(F.floor(F.col("episode_index") / 50), F.floor(F.col("episode_index") / 10))
+    own = paths.v2_data_path(F.lit(V2_PATH), F.col("episode_index"), F.lit(1000))
+    lost = F.lit("data/chunk-009/file-999.parquet")
+    file = F.when(F.col("dataset") == "A", shared).when(F.col("dataset") == "N", own).otherwise(lost)
+    episodes = spans.where("episode_index % 3 = 0").withColumn("file", file)
+    out = readers.read_located(spark, root, episodes, ["action"])
+    return out.groupBy(*KEYS, "rescanned").agg(
+        F.count("*").alias("frames"), F.sum("index").alias("index_sum"), F.max("position").alias("last_position")
+    )
+
+
 @query(
     "s03_episode_metadata",
     sql(LI, "SELECT dataset, episode_index, count(*) AS length FROM li GROUP BY 1, 2"),
@@ -94,14 +190,14 @@ def episode_lines(spark, sf):
     "s09_catalog_discovery",
     sql(
         CATALOG,
-        """SELECT path AS dataset FROM catalog WHERE total_episodes > 0 AND split_part(path, '/', 1) || '/' || split_part(path, '/', 2) NOT IN
-  (SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM catalog WHERE total_episodes > 22) AND fps > 0
+        """SELECT CASE WHEN fps > 0 THEN path ELSE path || '/extra' END AS dataset FROM catalog WHERE total_episodes > 0 AND split_part(path, '/', 1) || '/' || split_part(path, '/', 2) NOT IN
+  (SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM catalog WHERE total_episodes > 22)
 UNION SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM catalog WHERE total_episodes > 22""",
     ),
 )
 def catalog_discovery(spark, sf):
     # Info documents at customer folders; a busy customer makes its nation's folder a
-    # dataset, which hides those below. Some lie in an ignored folder or too deep.
+    # dataset, which hides those below. Some lie in an ignored folder; then the one below counts.
     c = catalog(spark, sf).where("total_episodes > 0")
     nation = F.substring_index("path", "/", 2)
     hidden = F.concat(nation, F.lit("/.cache"))

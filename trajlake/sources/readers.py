@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from trajlake.functions.numbers import number_or_null
 from trajlake.functions.paths import file_group, group_rank, natural_key
 from trajlake.functions.vectors import quoted
+from trajlake.operators import locate
 from trajlake.operators.blocks import KEYS, positions
+from trajlake.session import cut
+from trajlake.sources import scan
+from trajlake.sources.scan import relative
 
 # Fixed names: bookkeeping columns of a frame table.
 BOOKKEEPING = ("timestamp", "frame_index", "episode_index", "index", "task_index")
@@ -24,13 +28,6 @@ INFO_SCHEMA = (
 )
 
 
-def relative(root: str, path: Column) -> Column:
-    """File path below the root, decoded from its URI form."""
-    base = root.rstrip("/").replace("file://", "")
-    plain = F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), r"^[a-z0-9]+:/+", "/")
-    return F.substring(plain, len(base) + 2, 1_000_000) if base.startswith("/") else plain
-
-
 def dataset_of(path: Column, marker: str) -> Column:
     """The part of a relative path before the dataset's ``marker`` folder."""
     name = F.regexp_extract(path, rf"^(.*?)/?{marker}", 1)
@@ -47,22 +44,32 @@ def read_texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return raw.select(relative(root, F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
 
 
-def parquet_below(spark: SparkSession, root: str, part: str, glob: str = "*.parquet") -> DataFrame:
-    """Parquet files under each dataset's ``part`` folder, with their path and row place."""
-    df = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .option("mergeSchema", True)
-        .parquet(root)
-    )
-    df = df.select(
-        "*",
-        relative(root, F.col("_metadata.file_path")).alias("_path"),
-        F.col("_metadata.row_index").alias("_row"),
-    )
-    return df.where(F.col("_path").rlike(rf"(^|/){part}/")).withColumn(
-        "dataset", dataset_of(F.col("_path"), f"{part}/")
-    )
+def data_templates(spark: SparkSession, root: str) -> DataFrame:
+    """``(dataset, template)`` of the datasets below the root, from their info documents."""
+    return top_datasets(read_infos(spark, root)).select("dataset", F.col("data_path").alias("template"))
+
+
+def scan_plan(
+    spark: SparkSession,
+    root: str,
+    columns: list[str] | None = None,
+    wanted: DataFrame | None = None,
+    part: str | None = None,
+) -> list[scan.Group]:
+    """The reads that cover the frame files below the root (see :mod:`trajlake.sources.scan`).
+
+    ``wanted`` limits them to its ``dataset`` rows, or to its ``(dataset, file)`` rows if it has
+    files. ``part`` takes files of another path template than the datasets' own.
+    """
+    listed = cut(scan.parquet_files(spark, root))
+    templates = data_templates(spark, root)
+    if part:
+        templates = templates.withColumn("template", F.lit(part))
+    chosen = scan.assigned(listed, templates, part or scan.ANY_DATA)
+    if wanted is not None:
+        keys = [c for c in ("dataset", "file") if c in wanted.columns]
+        chosen = chosen.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    return scan.groups(listed, cut(chosen), columns, root)
 
 
 def read_frames(
@@ -70,44 +77,101 @@ def read_frames(
     root: str,
     columns: list[str] | None = None,
     renumber: bool = True,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Frame rows of all datasets below the root, in file order.
 
-    Only the bookkeeping columns and ``columns`` are read. A file that holds a
-    single episode may leave ``episode_index`` out: it is then taken from the
-    file name. ``position`` numbers an episode's rows in file order; with
-    ``renumber=False`` the recorded ``frame_index`` is trusted instead, which
-    saves a shuffle.
+    Datasets may differ in layout and in stored types; only their frame files are opened,
+    and of those only the bookkeeping columns and ``columns``. Footers are read while the
+    plan is made. ``file`` is the path below the dataset. ``wanted`` limits the scan (see
+    :func:`scan_plan`).
+
+    A file that holds a single episode may leave ``episode_index`` out: it is then taken
+    from the file's name. Rows whose episode neither tells are kept with a null episode and
+    position. ``position`` numbers an episode's rows in file order; with ``renumber=False``
+    the recorded ``frame_index`` is trusted instead, which saves a shuffle.
     """
-    df = parquet_below(spark, root, "data")
-    wanted = [c for c in df.columns if c in BOOKKEEPING or columns is None or c in columns]
-    named = F.regexp_extract("_path", r"episode_(\d+)\.parquet$", 1)
-    episode = F.when(named != "", named.cast("long"))
-    if "episode_index" in df.columns:
-        episode = F.coalesce(F.col("episode_index").cast("long"), episode)
-    rest = [
-        quoted(c) for c in wanted if c not in ("episode_index", "dataset", "_path", "_row")
-    ]
-    frames = df.select("dataset", episode.alias("episode_index"), *rest, "_path", "_row").where(
-        F.col("episode_index").isNotNull()
+    found = scan_plan(spark, root, None if columns is None else [*BOOKKEEPING, *columns], wanted)
+    fixed = "dataset string, episode_index long, file string, position long"
+    if not found:
+        return spark.createDataFrame([], fixed)
+    df = scan.read_groups(spark, root, found)
+    names = [c for c in df.columns if c not in ("_dataset", "_file", "_episode", "_order", "_row")]
+    own = [F.col("episode_index").cast("long")] if "episode_index" in names else []
+    rest = [quoted(c) for c in names if c not in ("episode_index", "dataset", "file", "position")]
+    frames = df.select(
+        F.col("_dataset").alias("dataset"),
+        F.coalesce(*own, F.col("_episode")).alias("episode_index"),
+        *rest,
+        F.col("_file").alias("file"),
+        "_order",
+        "_row",
+        F.col("_episode").isNotNull().alias("_single"),
     )
     if not renumber:
-        return frames.withColumn("position", F.col("frame_index").cast("long")).drop("_row").withColumnRenamed("_path", "file")
+        numbered = F.col("frame_index").cast("long") if "frame_index" in names else F.lit(None).cast("long")
+        return frames.withColumn("position", numbered).drop("_row", "_order", "_single")
     # Files are in order of their chunk and file numbers; a file outside that
     # scheme holds one episode, whose rows are in order by themselves.
-    chunk = F.regexp_extract("_path", r"chunk-(\d+)/", 1).try_cast("long")
-    file = F.regexp_extract("_path", r"(?:file|part)-(\d+)[^/]*\.parquet$", 1).try_cast("long")
-    frames = frames.withColumn("_file", F.coalesce(F.coalesce(chunk, F.lit(0)) * 1_000_000 + file, F.lit(-1)))
-    along = F.when(F.col("_file") >= 0, F.col("_file") * 1e9 + F.col("_row")).when(
-        named != "", F.col("_row").cast("double")
+    along = F.when(F.col("_order") >= 0, F.col("_order") * 1e9 + F.col("_row")).when(
+        F.col("_single"), F.col("_row").cast("double")
     ).otherwise(F.lit(0.0))
-    numbered = positions(frames, ["_file", "_path", "_row"], along).drop("_file")
-    return numbered.drop("_row").withColumnRenamed("_path", "file")
+    known = frames.where(F.col("episode_index").isNotNull())
+    numbered = positions(known, ["_order", "file", "_row"], along).drop("_row", "_order", "_single")
+    unknown = frames.where(F.col("episode_index").isNull()).withColumn("position", F.lit(None).cast("long"))
+    return numbered.unionByName(unknown.drop("_row", "_order", "_single"))
+
+
+def read_located(spark: SparkSession, root: str, episodes: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Frames of the wanted ``episodes`` (normalised rows), found by their file and row range.
+
+    Only files that some range names are opened. Where an episode's range holds none of
+    its rows, its dataset is scanned again for the episode number in the data, and only
+    such datasets are. ``rescanned`` tells which way a row was found; ``position`` counts an
+    episode's rows in recorded order.
+    """
+    places = cut(locate.locators(episodes))
+    first = read_frames(spark, root, columns, renumber=False, wanted=places)
+    if "index" in first.columns:
+        found = locate.rows_in_range(first.drop("position"), places)
+    else:
+        found = first.drop("position").join(places.select(*KEYS), KEYS, "left_semi")
+    stale = cut(locate.stale_datasets(places, found))
+    parts = [found.join(stale, "dataset", "left_anti").withColumn("rescanned", F.lit(False))]
+    if not stale.isEmpty():
+        again = read_frames(spark, root, columns, renumber=False, wanted=stale).drop("position")
+        again = again.join(places.select(*KEYS).distinct(), KEYS, "left_semi")
+        both = found.select(*KEYS).distinct().groupBy("dataset").agg(F.count("*").alias("_ranged"))
+        better = cut(
+            again.select(*KEYS).distinct().groupBy("dataset").agg(F.count("*").alias("_numbered"))
+            .join(both, "dataset", "left").where(F.col("_numbered") > F.coalesce("_ranged", F.lit(0))).select("dataset")
+        )
+        parts.append(again.join(better, "dataset", "left_semi").withColumn("rescanned", F.lit(True)))
+        kept = found.join(stale, "dataset", "left_semi").join(better, "dataset", "left_anti")
+        parts.append(kept.withColumn("rescanned", F.lit(False)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = scan.united(out, part)
+    order = [c for c in ("index", "frame_index", "timestamp") if c in out.columns]
+    return positions(out, order, F.col(order[0])) if order else out
 
 
 def read_episodes(spark: SparkSession, root: str) -> DataFrame:
-    """Episode rows from parquet metadata, as stored (see :func:`normalise_episodes`)."""
-    return parquet_below(spark, root, "meta/episodes").drop("_row")
+    """Episode rows from parquet metadata, as stored (see :func:`normalise_episodes`).
+
+    Tables of different stored types are read apart and united.
+    """
+    found = scan_plan(spark, root, part=scan.EPISODE_TABLES)
+    if not found:
+        return spark.createDataFrame([], "dataset string, episode_index long")
+    df = scan.read_groups(spark, root, found)
+    return df.drop("dataset", "_file", "_episode", "_order", "_row").withColumnRenamed("_dataset", "dataset")
+
+
+def read_columns(spark: SparkSession, root: str) -> DataFrame:
+    """``(dataset, file, column, type, kind)`` of every frame file, from the files' footers alone."""
+    chosen = scan.assigned(scan.parquet_files(spark, root), data_templates(spark, root))
+    return scan.file_columns(scan.footers(chosen, root))
 
 
 def read_episodes_jsonl(spark: SparkSession, root: str) -> DataFrame:
