@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.functions.vectors import field_type, is_numeric_cell
-from trajlake.operators import stats
+from trajlake.operators import moments, stats
 from trajlake.operators.blocks import KEYS, episode_lengths
 from trajlake.session import cut
 from trajlake.sources.readers import BOOKKEEPING
@@ -41,9 +41,21 @@ class Recording:
         """The column's rows, with its episode table found once for all checks."""
         return self._once(("matrix", column), lambda: stats.prepare(self.frames, column))
 
+    def moments(self) -> DataFrame:
+        """Moments of every (episode, numeric column, dim), from one pass for all checks."""
+        return self._once(("moments",), lambda: cut(moments.moments(self.frames, self.numeric_columns())))
+
+    def summaries(self) -> DataFrame:
+        """Summaries of all numeric columns, merged from the moments."""
+        return self._once(("summaries",), lambda: cut(moments.merged(moments.of_one_width(self.moments()))))
+
     def summary(self, column: str) -> DataFrame:
-        """The column's summary, computed once for all checks."""
-        return self._once(("summary", column), lambda: cut(stats.column_summary(self.matrix(column), column)))
+        return self.summaries().where(F.col("column") == column).drop("column")
+
+    def beyond(self) -> DataFrame:
+        """Values on the extremes and far from the mean, of all numeric columns, from one pass for all checks."""
+        build = lambda: cut(moments.counts_beyond(self.frames, self.moments(), self.summaries(), self.numeric_columns()))
+        return self._once(("beyond",), build)
 
     def scales(self, column: str) -> DataFrame:
         """The column's step std, computed once for all checks."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trajlake.functions.numbers import above, finite, or_one, round_half_up
 from trajlake.functions.vectors import all_finite, is_usable, vector
+from trajlake.operators import moments
 from trajlake.operators.blocks import KEYS, blocked, core, window
 from trajlake.session import cut
 
@@ -50,16 +51,6 @@ def matrix(frames: DataFrame | Matrix, column: str) -> Matrix:
     return Matrix(rows, episodes)
 
 
-def same_width_datasets(episodes: DataFrame) -> DataFrame:
-    """Datasets whose usable episodes all have one width; others have no summary."""
-    return (
-        episodes.groupBy("dataset")
-        .agg(F.min("width").alias("dims"), F.max("width").alias("_w"))
-        .where(F.col("dims") == F.col("_w"))
-        .drop("_w")
-    )
-
-
 def summarize(vectors: DataFrame, *keys: str) -> DataFrame:
     """One pass of moments per (keys, dim) over rows holding a vector ``v``.
 
@@ -85,13 +76,19 @@ def summarize(vectors: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("m2", variance * F.col("count")).withColumn("std", F.sqrt(variance)).drop("_var")
 
 
+def _moments(frames: DataFrame | Matrix, column: str) -> DataFrame:
+    source, name = (frames.rows, "v") if isinstance(frames, Matrix) else (frames, column)
+    return cut(moments.moments(source, [name]))
+
+
 def column_summary(frames: DataFrame | Matrix, column: str, episodes_kept: DataFrame | None = None) -> DataFrame:
-    """Summary per (dataset, dim); optionally over a list of episodes only."""
-    rows, episodes = matrix(frames, column)
-    episodes = episodes.join(same_width_datasets(episodes), "dataset")
+    """Summary per (dataset, dim); optionally over a list of episodes only. Its moments are written as the plan is made."""
+    table = _moments(frames, column)
     if episodes_kept is not None:
-        episodes = episodes.join(episodes_kept.select(*KEYS).distinct(), KEYS, "left_semi")
-    return summarize(blocked(rows, episodes=episodes))
+        kept = moments.of_one_width(table).join(episodes_kept.select(*KEYS).distinct(), KEYS, "left_semi")
+    else:
+        kept = moments.of_one_width(table)
+    return moments.merged(kept).drop("column")
 
 
 def with_previous(frames: DataFrame, column: str, *extra: str) -> DataFrame:
@@ -130,18 +127,16 @@ def step_scales(frames: DataFrame | Matrix, column: str) -> DataFrame:
     return as_arrays(diff_summary(frames, column), scale=or_one(F.col("std")))
 
 
+def _beyond(frames: DataFrame | Matrix, column: str, summary: DataFrame, limit: float) -> DataFrame:
+    source, name = (frames.rows, "v") if isinstance(frames, Matrix) else (frames, column)
+    usable = matrix(frames, column).episodes.select(*KEYS, F.lit(name).alias("column"))
+    counts = moments.counts_beyond(source, usable, summary.withColumn("column", F.lit(name)), [name], limit)
+    return counts.drop("column")
+
+
 def extremes_share(frames: DataFrame | Matrix, column: str, summary: DataFrame) -> DataFrame:
     """Add at_minimum/at_maximum: how many finite rows sit on the extremes."""
-    rows, episodes = matrix(frames, column)
-    limits = as_arrays(summary, lo=F.col("minimum"), hi=F.col("maximum"))
-    near = blocked(rows, episodes=episodes.join(limits, "dataset")).where(all_finite(F.col("v")))
-    long = near.select(
-        "dataset", F.posexplode(F.arrays_zip("v", "lo", "hi")).alias("dim", "_z")
-    )
-    counts = long.groupBy("dataset", "dim").agg(
-        F.count_if(F.col("_z.v") == F.col("_z.lo")).alias("at_minimum"),
-        F.count_if(F.col("_z.v") == F.col("_z.hi")).alias("at_maximum"),
-    )
+    counts = _beyond(frames, column, summary, 10.0).drop("outliers")
     return summary.join(counts, ["dataset", "dim"], "left").na.fill(0, ["at_minimum", "at_maximum"])
 
 
@@ -160,12 +155,7 @@ def clip_share(full: DataFrame) -> DataFrame:
 
 def outlier_counts(frames: DataFrame | Matrix, column: str, summary: DataFrame, limit: float = 10.0) -> DataFrame:
     """Finite rows more than ``limit`` standard deviations from the mean, per dim."""
-    rows, episodes = matrix(frames, column)
-    scale = as_arrays(summary, m=F.col("mean"), s=F.col("std"))
-    near = blocked(rows, episodes=episodes.join(scale, "dataset")).where(all_finite(F.col("v")))
-    long = near.select("dataset", F.posexplode(F.arrays_zip("v", "m", "s")).alias("dim", "_z"))
-    z = F.try_divide(F.abs(F.col("_z.v") - F.col("_z.m")), F.col("_z.s"))
-    return long.groupBy("dataset", "dim").agg(F.count_if(above(z, limit)).alias("outliers"))
+    return _beyond(frames, column, summary, limit).select("dataset", "dim", "outliers")
 
 
 def constant_dims(summary: DataFrame) -> DataFrame:
@@ -209,23 +199,22 @@ def distribution_shift(frames: DataFrame | Matrix, column: str, episode_rank: Da
 
     ``episode_rank`` holds ``rank`` (0-based episode order) and ``episodes`` per episode.
     """
-    rows, usable = matrix(frames, column)
+    return shift_of(_moments(frames, column), episode_rank, limit).drop("column")
+
+
+def shift_of(table: DataFrame, episode_rank: DataFrame, limit: float = 3.0) -> DataFrame:
+    """:func:`distribution_shift` of all columns of a written table of moments."""
     quarter = F.floor(F.col("episodes") / 4)
     part = F.when(F.col("rank") < quarter, F.lit(0)).when(
         F.col("rank") >= F.col("episodes") - quarter, F.lit(1)
     )
-    sides = (
-        usable.join(episode_rank.where(F.col("episodes") >= 10), KEYS)
-        .withColumn("_part", part)
-        .where(F.col("_part").isNotNull())
-        .select(*KEYS, "n", "_part")
-    )
-    stats = summarize(blocked(rows, episodes=sides), "dataset", "_part")
-    first = stats.where("_part = 0").select("dataset", "dim", F.col("mean").alias("_m0"), "std")
-    last = stats.where("_part = 1").select("dataset", "dim", F.col("mean").alias("_m1"))
-    both = first.join(last, ["dataset", "dim"]).withColumn(
+    sides = episode_rank.where(F.col("episodes") >= 10).select(*KEYS, part.alias("_part")).where(F.col("_part").isNotNull())
+    stats = moments.merged(table.join(sides, KEYS), "dataset", "_part")
+    first = stats.where("_part = 0").select("dataset", "column", "dim", F.col("mean").alias("_m0"), "std")
+    last = stats.where("_part = 1").select("dataset", "column", "dim", F.col("mean").alias("_m1"))
+    both = first.join(last, ["dataset", "column", "dim"]).withColumn(
         "shift", F.abs(F.col("_m1") - F.col("_m0")) / or_one(F.col("std"))
     )
-    return both.groupBy("dataset").agg(
+    return both.groupBy("dataset", "column").agg(
         F.max_by("dim", F.struct("shift", -F.col("dim"))).alias("dim"), F.max("shift").alias("shift")
     ).withColumn("shifted", above(F.col("shift"), limit))
