@@ -44,6 +44,7 @@ SLOT_SHIFT = HASH_BITS - 28  # the top bits of a hash are its place in the map
 PRUNED = 3  # windows are cut at rare parts of up to so many words
 SLICE_BYTES = 1 << 20
 HASHES_KEPT = 1 << 20  # hashes a task sums up before it hands them on
+WINDOWS_KEPT = 1 << 19  # windows a task sums up before it hands them on
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 SPACES = b" \t"
@@ -259,10 +260,26 @@ def phrase_counts(texts: DataFrame, least: int, longest: int = LONGEST) -> DataF
     columns = [f"w{k + 1}" for k in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def summed() -> pa.Table:
+            keys = ["lang", *columns]
+            table = pa.Table.from_batches(kept).group_by(keys).aggregate([("n", "sum")])
+            return table.select([*keys, "n_sum"]).rename_columns([*keys, "n"])
+
         for batch in batches:
             for lang, column in _by_lang(batch):
                 for sliced in slices(column):
-                    yield _windows(sliced, lang, bits.value, longest, pruned)
+                    kept.append(_windows(sliced, lang, bits.value, longest, pruned))
+                    if sum(map(len, kept)) >= WINDOWS_KEPT:
+                        table = summed()
+                        kept = table.to_batches()
+                        # Windows of many slices are summed as long as that makes them fewer.
+                        if 2 * len(table) > WINDOWS_KEPT:
+                            yield from kept
+                            kept = []
+        if kept:
+            yield from summed().to_batches()
 
     schema = ", ".join(["lang string", *[f"{c} string" for c in columns], "n long"])
     windows = texts.mapInArrow(run, schema).groupBy("lang", *columns).agg(F.sum("n").alias("n"))
