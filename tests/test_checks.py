@@ -175,6 +175,13 @@ def test_length_mismatch_fails(spark):
     assert ("FAIL", "length_mismatch", 0) in bad(data.episode_health(rec))
 
 
+def test_missing_ranges_of_sparse_ids(spark):
+    ids = spark.createDataFrame([("d", 0), ("d", 4_000_000_000), ("e", 1), ("e", 2), ("f", None), ("f", 3)], "dataset string, episode_index long")
+    assert sorted_rows(motion_checks.missing_ranges(ids)) == [("d", 1, 3_999_999_999, 3_999_999_999)]
+    few = spark.createDataFrame([("d", 0), ("d", 70_000)], "dataset string, episode_index long")
+    assert motion_checks.missing_episodes(few).count() == 69_999
+
+
 def test_missing_episodes(spark, blocks):
     f = frames_of(spark, {i: [[0.0]] for i in (2, 3, 7)})
     assert sorted_rows(motion_checks.missing_episodes(f)) == [("d", 4), ("d", 5), ("d", 6)]

@@ -241,17 +241,26 @@ def global_index_breaks(frames: DataFrame) -> DataFrame:
     )
 
 
-def missing_episodes(episodes: DataFrame) -> DataFrame:
-    """Episode ids absent between a dataset's smallest and largest id.
+def missing_ranges(episodes: DataFrame) -> DataFrame:
+    """Runs of absent episode ids between a dataset's smallest and largest id: ``(dataset, first, last, missing)``.
 
-    Gaps are found between neighbouring ids, so only missing ids are produced.
+    Gaps are found between neighbouring ids, one row per gap however wide it is. Null
+    ids are no ids.
     """
-    ids = episodes.select(*KEYS).distinct().withColumn("_slot", F.floor(F.col("episode_index") / 65536))
+    known = episodes.select(*KEYS).where(F.col("episode_index").isNotNull()).distinct()
+    ids = known.withColumn("_slot", F.floor(F.col("episode_index") / 65536))
     gaps = shifted(ids, F.col("episode_index"), ["episode_index"], "_slot", ["dataset"], "_next", ahead=True)
-    return gaps.where(F.col("_next") > F.col("episode_index") + 1).select(
-        "dataset",
-        F.explode(F.sequence(F.col("episode_index") + 1, F.col("_next") - 1)).alias("episode_index"),
-    )
+    first, last = F.col("episode_index") + 1, F.col("_next") - 1
+    return gaps.where(last >= first).select("dataset", first.alias("first"), last.alias("last"), (last - first + 1).alias("missing"))
+
+
+def missing_episodes(episodes: DataFrame) -> DataFrame:
+    """The absent ids one by one (see :func:`missing_ranges`), for gaps narrow enough to list."""
+    step = 65536
+    parts = F.sequence(F.col("first"), F.col("last"), F.lit(step).cast("long"))
+    slices = missing_ranges(episodes).select("dataset", "last", F.explode(parts).alias("_from"))
+    inside = F.sequence(F.col("_from"), F.least(F.col("last"), F.col("_from") + step - 1))
+    return slices.select("dataset", F.explode(inside).alias("episode_index"))
 
 
 def bad_values(frames: DataFrame | Matrix, column: str) -> DataFrame:

@@ -310,6 +310,20 @@ def missing_episodes(spark, sf):
     return mc.missing_episodes(per.where(F.col("s") > F.col("a") * 200))
 
 
+@query(
+    "u01_missing_ranges",
+    """WITH ids AS (SELECT l_returnflag AS dataset, l_suppkey AS id FROM lineitem
+             GROUP BY 1, 2 HAVING sum(l_quantity) > avg(l_quantity) * 200),
+n AS (SELECT dataset, id, lead(id) OVER (PARTITION BY dataset ORDER BY id) AS next FROM ids)
+SELECT dataset, id + 1 AS "first", next - 1 AS "last", next - id - 1 AS missing FROM n WHERE next > id + 1""",
+)
+def missing_ranges(spark, sf):
+    per = li_frames(spark, sf).groupBy(*KEYS).agg(
+        F.sum(F.col("action")[0]).alias("s"), F.avg(F.col("action")[0]).alias("a")
+    )
+    return mc.missing_ranges(per.where(F.col("s") > F.col("a") * 200))
+
+
 @query(
     "d03_bad_values",
     sql(
