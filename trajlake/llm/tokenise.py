@@ -2,7 +2,8 @@
 
 The tokenizers library encodes a text piece by piece: neither kind of file below has
 a token across the cuts made here, so the ids of a text are those of its pieces in
-order. Pieces repeat, so each worker asks the library for a piece only once.
+order. Pieces repeat, so each worker asks the library for a piece only once. A text that
+holds the string of an added token, in any case, is encoded whole by the library's own call.
 """
 
 import os
@@ -23,14 +24,15 @@ def encoder(path: str) -> "Encoder":
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers. Special tokens' strings are ordinary text."""
+    """Ids of texts as little-endian unsigned 32-bit integers, as the library's call with its defaults gives them."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # In any case of letters, as a normaliser may change it.
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         # White space is dropped, and no normaliser rule joins what it parts.
         self.drops_space = self.library.normalizer is not None and not self.library.encode("a \n b", add_special_tokens=False).ids[2:]
         self.known: dict[bytes, bytes | None] = {}
@@ -53,6 +55,9 @@ class Encoder:
         self.known.update(zip(todo, self._direct([p.decode() for p in todo])))
 
     def encode(self, text: str) -> bytes:
+        lowered = text.lower()
+        if any(token in lowered for token in self.added):
+            return self._direct([text])[0]
         raw = text.encode()
         pieces = raw.split() if self.drops_space else _SPACED.findall(raw)
         known = self.known
