@@ -189,6 +189,44 @@ def test_mixing_of_nothing_and_permutations(spark, docs_of):
         assert sorted(r.p for r in df.collect()) == list(range(n))
 
 
+def test_draws_are_multinomial_and_settled(spark):
+    targets = spark.createDataFrame([("a", 64_000, 96_000.0), ("b", 32_000, 25_600.0), (None, 9_600, 6_400.0), ("c", 640, 64.0)], "source string, source_size long, target double")
+    quota = {r.source: r for r in mixing.quotas(targets).collect()}
+    every = sum(r.slots for r in quota.values())
+    drawn = mixing.draws(mixing.quotas(targets), every, shard_slots=20)
+    rows = drawn.collect()
+    per_shard = {}
+    for r in rows:
+        per_shard.setdefault(r.shard, {})[r.source] = r.drawn
+    shards = -(-every // 20)
+    assert [sum(per_shard[i].values()) for i in range(shards)] == [20] * (every // 20) + [every % 20] * (every % 20 > 0)
+    # The counts of one source vary over full shards as a binomial draw does.
+    for source in ("a", "b"):
+        p = quota[source].slots / every
+        counts = [per_shard[i].get(source, 0) for i in range(every // 20)]
+        mean = sum(counts) / len(counts)
+        spread = sum((c - mean) ** 2 for c in counts) / len(counts)
+        assert abs(mean - 20 * p) < 5 * (20 * p * (1 - p) / len(counts)) ** 0.5
+        assert 0.6 < spread / (20 * p * (1 - p)) < 1.6
+    got = mixing.settled(drawn, mixing.quotas(targets)).collect()
+    assert sum(r["count"] for r in got) == every
+    for i in range(shards):
+        assert sum(r["count"] for r in got if r.shard == i) == sum(per_shard[i].values())
+    for source, r in quota.items():
+        taken = sorted(j for g in got if g.source == source for j in range(g.start, g.start + g["count"]))
+        assert taken == list(range(r.slots))
+    # Only the draws beyond a source's slots were given to others.
+    spare = sum(max(0, sum(s.get(x, 0) for s in per_shard.values()) - r.slots) for x, r in quota.items())
+    kept = sum(min(r.drawn, sum(g["count"] for g in got if (g.shard, g.source) == (r.shard, r.source))) for r in rows)
+    assert kept >= every - spare
+
+
+def test_taken_follows_from_the_draws(docs_of):
+    rows = [(i, "w " * 40, "ab"[i % 2]) for i in range(60)]
+    mixed, _ = mixing.mixed(docs_of(rows), block_words=8, shard_slots=64)
+    assert "trajlake-draws" in " ".join(mixed.inputFiles())
+
+
 def test_mixed_documents_are_whole(docs_of, odd):
     rows = [(*r, "s") for r in odd] + [(i + 50, "w " * 40, "abc"[i % 3]) for i in range(90)]
     out = mixing.repeated(docs_of(rows, extra=True))

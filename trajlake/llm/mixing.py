@@ -4,15 +4,15 @@ Words stand for tokens. The documents of a source are laid end to end and cut in
 blocks of ``block_words``. The mix is a row of output slots, each taking one block,
 grouped into output shards of ``shard_slots``:
 
-* how often a source is drawn in a shard is a multinomial draw, conditioned on the
-  slots that the source has over all shards (without that condition a source would
-  miss its target by chance, or pass its limit). It is made by dealing each source's
-  slots to the shards through one pseudorandom permutation of all slots;
-* the j-th slot of a source takes block perm(j mod n) of its n blocks, where each pass
+* how often a source is drawn in a shard is a multinomial draw of the shard's slots, by
+  the sources' shares of all slots. Over all shards a source would then miss its target
+  by chance, or pass its limit, so the draws beyond a source's slots, in the last shards
+  that drew it, go to the sources that lack some;
+* the j-th slot that the shards drew of a source takes block perm(j mod n) of its n blocks, where each pass
   over the source has a pseudorandom permutation of its own;
 * slots and blocks are joined by (source, index).
 
-Both permutations are four-round Feistel networks on a grid just larger than the range,
+The permutations of blocks and of the slots in a shard are four-round Feistel networks on a grid just larger than the range,
 walked until they fall into the range: computed from the index alone, so nothing is
 sorted or kept, and the same on each run.
 
@@ -36,8 +36,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
-STRIPES = 1024  # parts in which a source's documents are summed and numbered
-DEAL_SLOTS = 8192  # slots that one row makes, so that a large source is made by many tasks
+STRIPE_ROWS = 50_000  # documents on average in a part in which they are summed and numbered
+CELLS = 4096  # cells of the hash range in which draws meet the sources
+RUN_SHARDS = 4096  # shards that are numbered in one window
+MOST_TASKS = 20_000  # tasks that draw; with more shards a task has more of them
 FEW = 1_000_000  # rows of few numbers that may be broadcast
 WALK = 64  # steps of the walk; a range of up to 900 never needs more, a larger one with chance under 1e-70
 
@@ -100,7 +102,8 @@ def laid_out(sized: DataFrame) -> DataFrame:
     A source is summed and numbered in stripes by a hash of the id, so a source with a
     third of all documents is no single task's work.
     """
-    striped = sized.withColumn("_stripe", F.pmod(F.xxhash64("doc_id"), F.lit(STRIPES)))
+    stripes = max(64, -(-sized.count() // STRIPE_ROWS))
+    striped = sized.withColumn("_stripe", F.pmod(F.xxhash64("doc_id"), F.lit(stripes)))
     stripes = striped.groupBy("source", "_stripe").agg(F.sum("size").alias("_n"))
     ahead = Window.partitionBy("source").orderBy("_stripe").rowsBetween(Window.unboundedPreceding, -1)
     stripes = stripes.select(
@@ -112,26 +115,108 @@ def laid_out(sized: DataFrame) -> DataFrame:
     return joined.withColumn("first", F.col("_base") + F.col("_in")).drop("_s", "_t", "_stripe", "_in", "_base")
 
 
-def slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
-    """The mix: ``shard, slot, source, index``, a row per output slot."""
+def quotas(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``source, blocks, slots, first``: slots a source has in the whole mix, and those of the sources before it."""
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     # In whole passes and parts of one, so that the last, shorter block counts as what it is.
     wanted = F.least(F.floor(F.col("target") * blocks / F.col("source_size") + 0.5).cast("long"), (blocks * MOST).cast("long"))
-    rows = targets.where("source_size > 0").select("source", blocks.alias("_blocks"), wanted.alias("_slots"))
+    rows = targets.where("source_size > 0").select("source", blocks.alias("blocks"), wanted.alias("slots")).where("slots > 0")
     before = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_first", F.coalesce(F.sum("_slots").over(before), F.lit(0))).withColumn(
-        "_all", F.sum("_slots").over(Window.partitionBy())
+    return rows.withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0)))
+
+
+def draws(quota: DataFrame, every: int, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
+    """The multinomial draw of each output shard: ``shard, source, drawn``.
+
+    Each slot of a shard takes a hash below ``every``; the source in whose range of
+    slots it falls is drawn. A hash meets the ranges in one of ``CELLS`` equal cells.
+    """
+    spark = quota.sparkSession
+    shards = -(-every // shard_slots)
+    tasks = max(1, min(shards, MOST_TASKS, max(spark.sparkContext.defaultParallelism, shards // 16)))
+    left = F.least(F.lit(shard_slots).cast("long"), F.lit(every) - F.col("shard") * shard_slots) - 1
+    places = spark.range(0, shards, 1, tasks).withColumnRenamed("id", "shard").withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), left)))
+    thrown = places.select("shard", F.pmod(F.xxhash64("shard", "_p", F.lit(seed), F.lit("draw")), F.lit(every)).alias("_u"))
+    width = -(-every // CELLS)
+    end = F.col("first") + F.col("slots")
+    cells = quota.select(
+        "source", "first", end.alias("_end"), F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((end - 1) / width))).alias("_cell")
+    )
+    met = thrown.withColumn("_cell", F.floor(F.col("_u") / width)).join(small(cells, FEW), "_cell")
+    return met.where("_u >= first and _u < _end").groupBy("shard", "source").agg(F.count("*").alias("drawn"))
+
+
+def settled(drawn: DataFrame, quota: DataFrame) -> DataFrame:
+    """Draws that meet every source's slots: ``shard, source, start, count``.
+
+    ``start`` is the number of the source's slots before. Over all shards a source is
+    drawn a little too often or too seldom. Its draws beyond its slots, all in the last
+    shards that drew it, go to the sources that lack some, in order.
+    """
+    # Sums over runs of shards first, so that no window holds all shards.
+    runs = drawn.withColumn("_run", F.floor(F.col("shard") / RUN_SHARDS))
+    ahead = Window.partitionBy("source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = runs.groupBy("source", "_run").agg(F.sum("drawn").alias("_n"))
+    sums = sums.select(F.col("source").alias("_s"), F.col("_run").alias("_r"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("source", "_run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    rows = runs.withColumn("_in", F.coalesce(F.sum("drawn").over(within), F.lit(0)))
+    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_run") == F.col("_r")))
+    rows = rows.select("shard", "source", "drawn", (F.col("_base") + F.col("_in")).alias("start"))
+
+    totals = drawn.groupBy(F.col("source").alias("_s")).agg(F.sum("drawn").alias("_drawn"))
+    order = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    over = quota.join(totals, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
+    over = over.withColumns({
+        "_spare": F.greatest(F.col("_drawn") - F.col("slots"), F.lit(0)),
+        "_lack": F.greatest(F.col("slots") - F.col("_drawn"), F.lit(0)),
+    })
+    over = over.withColumns({
+        "_spare_at": F.coalesce(F.sum("_spare").over(order), F.lit(0)), "_lack_at": F.coalesce(F.sum("_lack").over(order), F.lit(0)),
+    })
+    over = save(over.select(F.col("source").alias("_s"), "slots", "_drawn", "_spare_at", "_lack", "_lack_at"), "overdrawn")
+
+    rows = rows.join(over, F.col("source").eqNullSafe(F.col("_s")))
+    kept = F.greatest(F.least(F.col("drawn"), F.col("slots") - F.col("start")), F.lit(0))
+    rows = rows.withColumn("count", kept)
+    # The spare draws have numbers; a lacking source takes a range of them.
+    low = F.col("_spare_at") + F.greatest(F.col("start") - F.col("slots"), F.lit(0))
+    spare = rows.where("drawn > count").select("shard", low.alias("_low"), (low + F.col("drawn") - F.col("count")).alias("_high"))
+    lack = over.where("_lack > 0").select(
+        F.col("_s").alias("source"), F.col("_drawn").alias("_from"), F.col("_lack_at").alias("_left"), (F.col("_lack_at") + F.col("_lack")).alias("_right")
     )
-    deals = rows.where("_slots > 0").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / DEAL_SLOTS))))
-    dealt = deals.repartition("source", "_deal")
-    last = F.least(F.col("_slots"), (F.col("_deal") + 1) * DEAL_SLOTS) - 1
-    dealt = dealt.withColumn("_j", F.explode(F.sequence(F.col("_deal") * DEAL_SLOTS, last)))
-    place = permuted(F.col("_first") + F.col("_j"), F.col("_all"), seed, "shards")
+
+    def cells(df: DataFrame, a: str, b: str) -> DataFrame:
+        return df.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(a) / SHARD_SLOTS), F.floor((F.col(b) - 1) / SHARD_SLOTS))))
+
+    met = cells(spare, "_low", "_high").join(cells(lack, "_left", "_right"), "_cell")
+    # Of two ranges that share several cells, the cell with the start of the shared part counts.
+    a, b = F.greatest("_low", "_left"), F.least("_high", "_right")
+    met = met.where((a < b) & (F.floor(a / SHARD_SLOTS) == F.col("_cell")))
+    given = met.select("shard", "source", (F.col("_from") + a - F.col("_left")).alias("start"), (b - a).alias("count"))
+    return rows.where("count > 0").select("shard", "source", "start", "count").unionByName(given)
+
+
+def slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
+    """The mix: ``shard, slot, source, index``, a row per output slot."""
+    quota = save(quotas(targets, block_words), "quotas")
+    every = int(quota.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0])
+    if not every:
+        return quota.select(F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("slot"), "source", F.col("first").alias("index")).limit(0)
+    counts = settled(save(draws(quota, every, shard_slots, seed), "draws"), quota)
+    # A number of tasks that Spark does not lower: few bytes come in, many slots go out.
+    shards = -(-every // shard_slots)
+    spark = targets.sparkSession
+    counts = counts.repartition(max(1, min(MOST_TASKS, max(spark.sparkContext.defaultParallelism, shards // 16))), "shard")
+    order = Window.partitionBy("shard").orderBy(F.col("source").asc_nulls_last(), "start").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("count").over(order), F.lit(0)))
+    of = small(quota.select(F.col("source").alias("_s"), F.col("blocks").alias("_blocks")), FEW)
+    counts = counts.join(of, F.col("source").eqNullSafe(F.col("_s")))
+    dealt = counts.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))).withColumn("_j", F.col("start") + F.col("_i"))
+    size = F.least(F.lit(shard_slots).cast("long"), F.lit(every) - F.col("shard") * shard_slots)
+    slot = permuted(F.col("_before") + F.col("_i"), size, seed, "slots", F.col("shard"))
     turn = F.floor(F.col("_j") / F.col("_blocks"))
     index = permuted(F.pmod("_j", "_blocks"), F.col("_blocks"), seed, F.coalesce("source", F.lit("")), F.col("source").isNull(), turn)
-    return dealt.select(
-        F.floor(place / shard_slots).alias("shard"), F.pmod(place, F.lit(shard_slots)).alias("slot"), "source", index.alias("index")
-    )
+    return dealt.select("shard", slot.alias("slot"), "source", index.alias("index"))
 
 
 def block_parts(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -153,7 +238,8 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SH
     uses = plan.groupBy("source", "index").agg(F.count("*").alias("_uses"))
     uses = uses.select(F.col("source").alias("_s"), F.col("index").alias("_i"), "_uses")
     parts = block_parts(placed, block_words)
-    met = parts.join(uses, F.col("source").eqNullSafe(F.col("_s")) & (F.col("index") == F.col("_i")), "left")
+    # Both sides grow with the words; a broadcast that Spark thinks small would not stay so.
+    met = parts.join(uses.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("index") == F.col("_i")), "left")
     taken = met.groupBy("doc_id", "source", "first", "size").agg(F.sum(F.col("words") * F.coalesce("_uses", F.lit(0))).alias("taken"))
     empty = placed.where("size = 0").select("doc_id", "source", "first", "size", F.lit(0).cast("long").alias("taken"))
     of = targets.withColumnRenamed("source", "_s")
