@@ -211,6 +211,30 @@ def test_near_duplicates_match_brute_force(spark, blocks):
     assert got == brute_force_pairs([list(r["print"]) + [float(r["n"])] for r in prints.collect()])
 
 
+def test_nearest_matches_compare_all_frames(spark, blocks):
+    base = [[math.sin(i), float(i)] for i in range(30)]
+    off = [0.0, 0.0, 9e-7, 1.9e-6, 0.3, -9e-7, -0.0]
+    episodes = {k: [[a + off[k % 7], b] for a, b in base] for k in range(14)}
+    for k in (20, 21):  # same ends, other middle
+        episodes[k] = [[a + (0.5 if i == 15 else 0.0), b] for i, (a, b) in enumerate(base)]
+    episodes[22] = base[:29]
+    episodes[4_000_000_000] = base
+    episodes[30] = episodes[31] = [[math.nan, 1.0]] * 30
+    episodes[32] = episodes[33] = [[1e300, 1.0]] * 30
+    got = {r.episode_index: (r.match, r.exact) for r in dup.nearest_matches(frames_of(spark, episodes), "action").collect()}
+
+    def alike(a, b):
+        return len(a) == len(b) and all(abs(x - y) <= 1e-6 for p, q in zip(a, b) for x, y in zip(p, q))
+
+    want = {}
+    for e, rows in episodes.items():
+        lower = [o for o in episodes if o < e and alike(rows, episodes[o])]
+        if lower:
+            want[e] = (max(lower), episodes[max(lower)] == rows)
+    assert got == want
+    assert dup.nearest_matches(frames_of(spark, {0: base}), "action").count() == 0
+
+
 def test_nan_fingerprint_matches_nothing(spark):
     f = frames_of(spark, {0: [[math.nan]] * 12, 1: [[math.nan]] * 12})
     assert dup.fingerprints(f, "action").count() == 0

@@ -149,7 +149,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY dataset, episode_index ORDER BY
     ),
 )
 def dimension_jumps(spark, sf):
-    return typed(data.dimension_jumps(dirty(spark, sf), threshold=10, extreme=12)).where("column = 'action.spike'")
+    return typed(data.dimension_jumps(dirty(spark, sf), threshold=10, extreme=12))
 
 
 @query(
@@ -271,6 +271,20 @@ def exact_copies(spark, sf):
     return dup.members(dup.fingerprints(with_copies(spark, sf), "action"))
 
 
+@query(
+    "j15_nearest_matches",
+    sql(
+        COPIES
+        + """, we AS (SELECT dataset, ep, max(n) AS n, list(x ORDER BY r) AS p FROM b GROUP BY 1, 2),
+wp AS (SELECT c.dataset, c.ep, c.n, a.ep AS l, a.p = c.p AS same FROM we a JOIN we c ON a.dataset = c.dataset AND a.n = c.n AND a.ep < c.ep
+       WHERE list_max(list_transform(list_zip(a.p, c.p), lambda z: abs(z[1] - z[2]))) <= 1e-6)""",
+        "SELECT dataset, ep AS episode_index, n, max(l) AS match, arg_max(same, l) AS exact FROM wp GROUP BY 1, 2, 3",
+    ),
+)
+def nearest_matches(spark, sf):
+    return dup.nearest_matches(with_copies(spark, sf), "action")
+
+
 @query("j05_length_mismatch", sql(ORD, "SELECT dataset, episode_index, n, length FROM oe WHERE n <> length"))
 def length_mismatch(spark, sf):
     lengths = order_frames(spark, sf).groupBy(*KEYS).agg(F.count("*").alias("n"))

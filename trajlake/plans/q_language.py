@@ -461,9 +461,8 @@ VOCAB = (
     + ",\n"
     + TASKS
     + """,
-rare AS (SELECT * FROM sg WHERE k >= 97),
 old AS (SELECT unnest(['error', 'signup 98']) AS text, unnest([0, 1]) AS subtask_index),
-al AS (SELECT task AS text, 0 AS a, task_index AS b, 0 AS c FROM tk UNION ALL SELECT instruction, 1, episode_index, st FROM rare),
+al AS (SELECT task AS text, 0 AS a, task_index AS b, 0 AS c FROM tk UNION ALL SELECT instruction, 1, episode_index, st FROM sg),
 fs AS (SELECT text, min((a, b, c)) AS o FROM al WHERE text NOT IN (SELECT text FROM old) GROUP BY 1),
 vc AS (SELECT text, subtask_index FROM old UNION ALL SELECT text, 1 + row_number() OVER (ORDER BY o) FROM fs)"""
 )
@@ -473,7 +472,7 @@ def vocab(spark, sf):
     old = spark.createDataFrame(
         [("events", "error", 0), ("events", "signup 98", 1)], "dataset string, text string, subtask_index long"
     )
-    return seg.vocabulary(old, event_tasks(spark), event_segments(spark, sf, 97))
+    return seg.vocabulary(old, event_tasks(spark), event_segments(spark, sf))
 
 
 @query("u04_vocabulary", sql(VOCAB, "SELECT 'events' AS dataset, text, CAST(subtask_index AS BIGINT) AS subtask_index FROM vc"))
@@ -487,14 +486,14 @@ def vocabulary(spark, sf):
         VOCAB
         + """,
 act AS (SELECT ev.episode_index, ev.position, ev.task_index,
-          last_value(rare.instruction IGNORE NULLS) OVER (PARTITION BY ev.episode_index ORDER BY ev.position ROWS UNBOUNDED PRECEDING) AS cur
-        FROM ev LEFT JOIN rare ON rare.episode_index = ev.episode_index AND rare.st = ev.position),
-hd AS (SELECT episode_index, arg_min(instruction, st) AS head FROM rare GROUP BY 1)""",
+          last_value(sg.instruction IGNORE NULLS) OVER (PARTITION BY ev.episode_index ORDER BY ev.position ROWS UNBOUNDED PRECEDING) AS cur
+        FROM ev LEFT JOIN sg ON sg.episode_index = ev.episode_index AND sg.st = ev.position),
+hd AS (SELECT episode_index, arg_min(instruction, st) AS head FROM sg GROUP BY 1)""",
         """SELECT 'events' AS dataset, act.episode_index, position, CAST(coalesce(v.subtask_index, 0) AS BIGINT) AS subtask_index
 FROM act LEFT JOIN hd USING (episode_index) LEFT JOIN tk USING (task_index) LEFT JOIN vc v ON v.text = coalesce(cur, head, task)""",
     ),
 )
 def frame_labels(spark, sf):
     frames = ev_frames(spark, sf).select(*KEYS, "position", "frame_index", "task_index")
-    out = seg.label_frames(frames, event_segments(spark, sf, 97), event_tasks(spark), cut(vocab(spark, sf)))
+    out = seg.label_frames(frames, event_segments(spark, sf), event_tasks(spark), cut(vocab(spark, sf)))
     return out.select(*KEYS, "position", "subtask_index")

@@ -465,16 +465,16 @@ def sidecar_upsert(spark, sf):
         VOCAB
         + """,
 act AS (SELECT ev.episode_index, ev.position, ev.task_index, ev.value,
-          last_value(rare.instruction IGNORE NULLS) OVER (PARTITION BY ev.episode_index ORDER BY ev.position ROWS UNBOUNDED PRECEDING) AS cur
-        FROM ev LEFT JOIN rare ON rare.episode_index = ev.episode_index AND rare.st = ev.position),
-hd AS (SELECT episode_index, arg_min(instruction, st) AS head FROM rare GROUP BY 1)""",
+          last_value(sg.instruction IGNORE NULLS) OVER (PARTITION BY ev.episode_index ORDER BY ev.position ROWS UNBOUNDED PRECEDING) AS cur
+        FROM ev LEFT JOIN sg ON sg.episode_index = ev.episode_index AND sg.st = ev.position),
+hd AS (SELECT episode_index, arg_min(instruction, st) AS head FROM sg GROUP BY 1)""",
         """SELECT act.episode_index, position, value, CAST(coalesce(v.subtask_index, 0) AS BIGINT) AS subtask_index
 FROM act LEFT JOIN hd USING (episode_index) LEFT JOIN tk USING (task_index) LEFT JOIN vc v ON v.text = coalesce(cur, head, task)""",
     ),
 )
 def labelled_frames(spark, sf):
     frames = ev_frames(spark, sf)
-    labelled = segments.label_frames(frames, event_segments(spark, sf, 97), event_tasks(spark), cut(vocab(spark, sf)))
+    labelled = segments.label_frames(frames, event_segments(spark, sf), event_tasks(spark), cut(vocab(spark, sf)))
     written = sinks.write_labelled(labelled, frames, fresh_path(spark))
     return written.select("episode_index", "position", F.col("action")[0].alias("value"), "subtask_index")
 
