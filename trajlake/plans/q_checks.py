@@ -139,19 +139,6 @@ def per_episode(spark, sf):
     return typed(data.per_episode(dirty(spark, sf)))
 
 
-@query(
-    "d04_dimension_jumps",
-    sql(
-        COARSE
-        + f""",
-rk AS (SELECT *, row_number() OVER (PARTITION BY dataset, episode_index ORDER BY z DESC, position) AS rank FROM liz WHERE z > 12)""",
-        f("max_z", "z", "rk WHERE rank <= 5", column="'action.spike'"),
-    ),
-)
-def dimension_jumps(spark, sf):
-    return typed(data.dimension_jumps(dirty(spark, sf), threshold=10, extreme=12))
-
-
 @query(
     "d05_speed_limits",
     sql(
@@ -176,6 +163,25 @@ mo AS (SELECT dataset, col, dim, avg(x) AS mu, CASE WHEN min(x) = max(x) THEN 0
 ol AS (SELECT dataset, col, dim, count(*) AS c FROM sx JOIN mo USING (dataset, col, dim) WHERE sd > 0 AND abs((x - mu) / sd) > 10 GROUP BY 1, 2, 3)"""
 
 
+@query(
+    "d04_dimension_jumps",
+    sql(
+        STATE
+        + """,
+dj AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY dataset, col, dim, episode_index ORDER BY position)) AS d,
+         x - lag(x) OVER (PARTITION BY dataset, col, dim, episode_index ORDER BY position) AS sg FROM sx),
+dc AS (SELECT dataset, col, dim, CASE WHEN min(sg) = max(sg) THEN 1.0 ELSE coalesce(nullif(stddev_pop(sg), 0), 1.0) END AS scale
+       FROM dj WHERE sg IS NOT NULL GROUP BY 1, 2, 3),
+dz AS (SELECT dataset, col, episode_index, position, max(d / scale) AS z, count(*) FILTER (d / scale > 10) AS over10
+       FROM dj JOIN dc USING (dataset, col, dim) WHERE d IS NOT NULL GROUP BY 1, 2, 3, 4),
+rk AS (SELECT *, row_number() OVER (PARTITION BY dataset, col, episode_index ORDER BY z DESC, position) AS rank FROM dz WHERE z > 12 OR over10 >= 2)""",
+        f("max_z", "z", "rk WHERE rank <= 5", column="col"),
+    ),
+)
+def dimension_jumps(spark, sf):
+    return typed(data.dimension_jumps(dirty(spark, sf), threshold=10, extreme=12))
+
+
 @query(
     "d07_statistics",
     sql(
