@@ -118,6 +118,13 @@ def test_url_verdicts(spark):
     assert {r.verdict for r in cascade.judged(pages, cascade.rule_table(spark).limit(0)).collect()} == {"allow"}
 
 
+def test_very_long_hosts(spark):
+    urls = ["http://" + "a." * 100_000 + "example.org/es/x", "http://" + "b" * 200_000 + ".com/de/" + "c" * 200_000, "http://" + "org." * 50_000 + "net/", "http://.org/", "http://org./"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in cascade.judged(pages, cascade.rule_table(spark)).collect()}
+    assert got == {0: ("example.org/es/", "block"), 1: ("com/de/", "block"), 2: (None, "allow"), 3: ("org/", "allow"), 4: (None, "allow")}
+
+
 def test_cascade_is_exact_on_its_universe(spark):
     universe = spark.range(20_000).select(F.xxhash64("id").alias("h"))
     listed = universe.where(F.pmod("h", F.lit(7)) == 0)

@@ -3,8 +3,8 @@
 A rule is (host, path, action). It fits its host and all subdomains, where the url's path
 starts with the rule's; the longest rule (host and path together, then host) wins. Rules
 of one action are the listed keys of a cascade. The key universe is every key that any url
-of the corpus can be asked about: each suffix of its host with each start of its path that
-is as long as some rule's path. Level 0 is a Bloom filter of the listed keys; level 1 one
+of the corpus can be asked about: each suffix of its host that is as long as some rule's
+host, with each start of its path that is as long as some rule's path. Level 0 is a Bloom filter of the listed keys; level 1 one
 of the universe's keys that pass level 0 without being listed; level 2 one of the listed
 keys that pass level 1; and so on until a level lets nothing wrong pass. So the answer is
 exact for every key of the universe, and hence for every url of the corpus.
@@ -16,7 +16,10 @@ follows the number of rules, and only with its logarithm the corpus; it is check
 Nulls: a url that is null or has no ``://`` has an empty host and path, and no rule; a null
 page_id is kept. Repeated rows are judged each for itself; of rules with the same host and
 path the one with action ``block`` counts. An empty table gives no rows, no rules make every
-url ``allow``. A long url is looked at whole. Other columns are ignored.
+url ``allow``. A long url is looked at whole; how many keys it has depends on the rules, not on its
+length. A rule with an empty or null host, or a null path, fits no url. Keys are 64-bit hashes: among n distinct keys of
+urls and r rules a key is taken for another with a chance of about n * r / 2^64. Other
+columns are ignored.
 """
 
 from collections.abc import Iterator
@@ -56,12 +59,14 @@ def parsed(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", host.alias("host"), path.alias("path"))
 
 
-def candidate_keys(lengths: list[int]) -> Column:
+def candidate_keys(host_lengths: list[int], lengths: list[int]) -> Column:
     """Keys of host suffix and path start, longest first: array of struct(total, wide, key).
 
-    A key starts with the length of its host, so host and path can't be mistaken for each other.
+    Only suffixes and starts of the given lengths, as no other can be listed. A key starts with the length of its host, so host and path can't be mistaken for each other.
     """
-    labels = "filter(transform(sequence(1, length(host)), p -> if(p = 1 or substr(host, p - 1, 1) = '.', substr(host, p), '')), h -> h != '')"
+    wide = ", ".join(str(n) for n in host_lengths if n) or "-1"
+    whole_label = "n = length(host) or (n < length(host) and substr(host, length(host) - n, 1) = '.')"
+    labels = f"transform(filter(array({wide}), n -> {whole_label}), n -> right(host, n))"
     starts = f"filter(array({', '.join(map(str, lengths)) or '0'}), n -> n <= length(path))"
     keys = (
         f"flatten(transform({labels}, h -> transform({starts}, n -> "
@@ -168,12 +173,12 @@ def _hash(key: Column) -> Column:
 
 def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every row of ``pages`` (``page_id``, ``url``)."""
-    once = rules.groupBy("host", "path").agg(F.max("action").alias("action"))
+    once = rules.dropna(subset=["host", "path"]).groupBy("host", "path").agg(F.max("action").alias("action"))
     if once.count() > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    lengths = sorted(r[0] for r in once.select(F.length("path")).distinct().collect())
+    lengths = [sorted(r[0] for r in once.select(F.length(part)).distinct().collect()) for part in ("host", "path")]
     rows = save(parsed(pages), "urls")
-    asked = rows.select("host", "path").distinct().select(F.explode(candidate_keys(lengths)).alias("k"))
+    asked = rows.select("host", "path").distinct().select(F.explode(candidate_keys(*lengths)).alias("k"))
     universe = save(asked.select(_hash(F.col("k.key")).alias("h")).distinct(), "universe")
     cascades = {
         action: build(once.where(F.col("action") == action).select(_hash(F.concat(F.length("host"), F.lit(":"), "host", "path")).alias("h")).distinct(), universe)
@@ -194,7 +199,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFr
             at += n
         return pd.Series(out)
 
-    keyed = rows.withColumn("_k", candidate_keys(lengths))
+    keyed = rows.withColumn("_k", candidate_keys(*lengths))
     keyed = keyed.withColumn("_v", verdicts(F.transform("_k", lambda k: _hash(k["key"]))))
     place = F.col("_v")[0]
     key = F.expr("element_at(_k, greatest(_v[0], 1)).key")
