@@ -67,6 +67,26 @@ def test_classes_are_those_of_all_pairs(docs_of, odd, copies):
     assert dartminhash.classed(docs_of([])).collect() == []
 
 
+def test_classes_by_blocks_are_those_of_all_pairs(docs_of, copies, monkeypatch):
+    # One round of hubs only, and tiny blocks: the comparison in full joins the rest.
+    for name, value in (("WORTH", 0), ("CHUNK", 4), ("CHUNK_BYTES", 3000)):
+        monkeypatch.setattr(dartminhash, name, value)
+    asked = []
+    crossing = dartminhash.crossing_links
+    monkeypatch.setattr(dartminhash, "crossing_links", lambda *tables: asked.append(crossing(*tables)) or asked[-1])
+    rnd = random.Random(9)
+    base = [f"g{i}" for i in range(120)]
+    rows = list(copies)
+    for i in range(60):  # copies of one text, about half of their pairs near
+        own = list(base)
+        own[rnd.randrange(60)], own[60 + rnd.randrange(60)] = f"y{i}", f"z{i}"
+        rows.append((1000 + i, " ".join(own)))
+    got = dartminhash.classed(docs_of(rows)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == sorted((r[0], w) for r, w in zip(rows, brute_classes(rows)))
+    links = asked[0].collect()
+    assert 0 < len(links) < len(rows)
+
+
 def test_one_document_of_each_class_stays(docs_of, odd, copies):
     rows = odd + copies
     kept = dartminhash.survivors(docs_of(rows, extra=True))

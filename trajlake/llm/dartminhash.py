@@ -13,13 +13,15 @@ darts up to a rank of (darts wanted / total weight) are thrown; a document with
 coordinate throws further.
 
 Links: documents of the same words are one class first. Classes that share the hash of
-``ROWS`` coordinates (a band) are candidates. Each is first compared with one hub, the
-first class of all its buckets in a hashed order, on exact shingle weights; components of
-these links are found by repeated minimum labels; that is done ``STARS`` times. Buckets
-that still hold more than one component then get every pair across components compared: by
-signature, in chunks, inside a task, and those near enough exactly. Pairs within a component
-are never made, so a group of copies costs pairs in proportion to its size, and no candidate
-pair across components is left out.
+``ROWS`` coordinates (a band) are candidates; buckets of one class are dropped. In rounds,
+each class is compared with one hub, the first class of all its buckets in an order hashed
+anew each round, by signature and then on exact shingle weights; the components of the
+links found are joined, and buckets with one component left are dropped. Rounds go on
+while they join at least one in ``WORTH`` of the classes still there. What is left is compared in full
+across components, block against block inside tasks: by signature first, then, for classes
+with a partner near enough, on exact weights, where components that a task has joined are
+not compared again. So a task gives fewer links than it has classes, and no candidate pair
+across components is left out.
 
 Nulls: a null text is an empty one; documents without words form one class; a null doc_id
 is a document, and last in order. Repeated rows are members of their class. An empty table
@@ -28,6 +30,7 @@ gives no rows. Texts are read whole; other columns are ignored.
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -47,7 +50,9 @@ DARTS = 8.0  # thrown per coordinate, on average
 # A signature's estimate of a similarity of LEAST falls below this with chance under 1e-5.
 DOUBT = 0.64
 CHUNK = 512
-STARS = 2
+CHUNK_BYTES = 4 << 20
+SIGN_BYTES = 1 << 20
+WORTH = 50
 FEW = 1_000_000  # rows of two numbers that may be broadcast
 NO_WORDS = hashlib.md5(b"").digest()
 
@@ -144,7 +149,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, w in word_slices(batch.column(2)):
+            for first, last, w in word_slices(batch.column(2), SIGN_BYTES):
                 rows = signatures(*shingles(w.hashes(), w.text, w.n_texts), w.n_texts)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -206,10 +211,10 @@ def bands(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "signature").mapInArrow(hashed, "band int, key long, rep long")
 
 
-def estimates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def estimates(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose signatures do not rule out a similarity of ``LEAST``."""
-    left = reps.select(F.col("rep").alias("a"), F.col("signature").alias("_x"))
-    right = reps.select(F.col("rep").alias("b"), F.col("signature").alias("_y"))
+    left = signs.select(F.col("rep").alias("a"), F.col("signature").alias("_x"))
+    right = signs.select(F.col("rep").alias("b"), F.col("signature").alias("_y"))
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -217,53 +222,46 @@ def estimates(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         v = np.frombuffer(b"".join(y), np.uint32).reshape(len(y), COORDINATES)
         return pd.Series((u == v).mean(axis=1) >= DOUBT)
 
-    return pairs.join(left, "a").join(right, "b").where(close("_x", "_y")).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(close("_x", "_y")).select(*pairs.columns)
 
 
 def weighted_sets(texts: DataFrame) -> DataFrame:
-    """``rep`` and ``elements``: its shingles as sorted 64-bit values, the n-th occurrence hashed with n."""
+    """``rep`` and ``elements``: its shingles as distinct, sorted 64-bit values, the n-th occurrence hashed with n."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, w in word_slices(batch.column(1), 1 << 21):
+            for first, last, w in word_slices(batch.column(1), SIGN_BYTES):
                 of, element, weight = shingles(w.hashes(), w.text, w.n_texts)
                 times = weight.astype(np.int64)
                 nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                of, element = np.repeat(of, times), _hash(np.repeat(element, times), nth)
+                of, element = np.repeat(of, times), _hash(np.repeat(element, times), nth).view(np.int64)
                 order = np.lexsort((element, of))
                 of, element = of[order], element[order]
                 edges = np.searchsorted(of, np.arange(w.n_texts + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first),
-                        pa.array([element[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(element)),
                     ],
                     ["rep", "elements"],
                 )
 
-    return texts.mapInArrow(build, "rep long, elements binary")
+    return texts.mapInArrow(build, "rep long, elements array<long>")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose exact similarity is at least ``LEAST``; only their documents' texts are read into sets."""
-    maybe = save(estimates(pairs, reps), "maybe")
-    ends = maybe.select(F.col("a").alias("rep")).union(maybe.select("b")).distinct()
-    rows = save(reps.join(ends, "rep").select("rep", F.col("text_key").alias("_r")), "ends")
-    texts = ids_and_texts(docs).withColumn("_r", text_key())
-    chosen = texts.join(small(rows, FEW), "_r").groupBy("rep").agg(F.first("text").alias("text"))
-    sets = save(weighted_sets(chosen.select("rep", "text")), "sets")
+def near_enough(common, x, y):
+    """Whether sets of ``x`` and ``y`` elements with ``common`` shared ones reach ``LEAST``, in whole numbers."""
+    least = Fraction(LEAST).limit_denominator(10_000)
+    return common * (least.numerator + least.denominator) >= (x + y) * least.numerator
 
-    @F.pandas_udf("double")
-    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for u, v in zip(x, y):
-            common = len(np.intersect1d(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64), assume_unique=True))
-            out.append(common / max(1, len(u) // 8 + len(v) // 8 - common))
-        return pd.Series(out, dtype=float)
 
+def verified(pairs: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose exact similarity is at least ``LEAST``, judged row by row."""
+    maybe = save(estimates(pairs, signs), "maybe")
     left = sets.select(F.col("rep").alias("a"), F.col("elements").alias("_x"))
     right = sets.select(F.col("rep").alias("b"), F.col("elements").alias("_y"))
-    return maybe.join(left, "a").join(right, "b").where(similarity("_x", "_y") >= LEAST).select("a", "b")
+    near = near_enough(F.size(F.array_intersect("_x", "_y")), F.size("_x"), F.size("_y"))
+    return maybe.join(left, "a").join(right, "b").where(near).select(*pairs.columns)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -283,59 +281,151 @@ def components(links: DataFrame) -> DataFrame:
         labels = nxt.select("node", "label")
 
 
-def labelled_buckets(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``buckets`` with the component of each class, itself where it has no link."""
-    if labels is None:
-        return buckets.withColumn("label", F.col("rep"))
-    met = buckets.join(labels, F.col("rep") == F.col("node"), "left")
-    return met.select("band", "key", "rep", F.coalesce("label", "rep").alias("label"))
+def still_open(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    keys = buckets.groupBy("band", "key").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).where("_a != _z")
+    return buckets.join(keys.select("band", "key"), ["band", "key"], "left_semi")
 
 
-def star_pairs(labelled: DataFrame, turn: int) -> DataFrame:
-    """One pair ``a < b`` at most for each class: with the first class, in a hashed order that changes
-    with ``turn``, of all its buckets that begin with another component."""
+def star_pairs(buckets: DataFrame, turn: int) -> DataFrame:
+    """One pair ``a < b`` at most for each class, with their components ``of_a`` and ``of_b``: with the first
+    class, in a hashed order that changes with ``turn``, of all its buckets that begin with another component."""
     order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), "rep", "label")
-    hubs = labelled.groupBy("band", "key").agg(F.min(order).alias("_h"))
-    met = labelled.join(hubs, ["band", "key"]).where(F.col("_h.label") != F.col("label"))
-    one = met.groupBy("rep").agg(F.min("_h").alias("_h"))
-    return one.select(F.least("rep", "_h.rep").alias("a"), F.greatest("rep", "_h.rep").alias("b")).distinct()
+    hubs = buckets.groupBy("band", "key").agg(F.min(order).alias("_h"))
+    met = buckets.join(hubs, ["band", "key"]).where(F.col("_h.label") != F.col("label"))
+    one = met.groupBy("rep", "label").agg(F.min("_h").alias("_h"))
+    mine, hub = F.struct("rep", "label"), F.struct(F.col("_h.rep").alias("rep"), F.col("_h.label").alias("label"))
+    pair = one.select(F.least(mine, hub).alias("x"), F.greatest(mine, hub).alias("y")).distinct()
+    return pair.select(
+        F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.label").alias("of_a"), F.col("y.label").alias("of_b")
+    )
 
 
-def crossing_pairs(labelled: DataFrame, reps: DataFrame) -> DataFrame:
-    """Near enough pairs ``a < b`` of one bucket but two components.
+def placed(buckets: DataFrame, members: DataFrame, size: Column) -> DataFrame:
+    """The rows of open buckets, with the columns of ``members``, dealt to places of bounded size.
 
-    The members of a bucket's largest component are only compared with the others; the
-    others go to each chunk of the bucket. Pairs are made and judged inside a task.
+    The members of a bucket's largest component are only compared with the others, the
+    probes. Probes are cut into blocks and all members into homes of about ``CHUNK`` rows and
+    ``CHUNK_BYTES`` bytes; a place is one block with one home, and a row goes to the places of
+    its block and of its home. ``probe`` marks probes, ``asks`` and ``home`` a row's part in its place.
     """
-    parts = labelled.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
-    opened = (
-        parts.groupBy("band", "key")
-        .agg(F.count("*").alias("_parts"), F.sum("n").alias("_n"), F.max(F.struct("n", "label"))["label"].alias("_most"))
-        .where("_parts > 1")
-    )
-    rows = labelled.join(opened, ["band", "key"]).withColumn("_chunks", F.ceil(F.col("_n") / CHUNK).cast("int"))
-    home = F.pmod(F.xxhash64("rep"), F.col("_chunks").cast("long")).cast("int")
-    places = F.when(F.col("label") == F.col("_most"), F.array(home)).otherwise(F.sequence(F.lit(0), F.col("_chunks") - 1))
-    spread = rows.select("band", "key", "rep", "label", (F.col("label") != F.col("_most")).alias("probe"), home.alias("home"), F.explode(places).alias("chunk"))
-    spread = save(spread.join(reps.select("rep", "signature"), "rep"), "crossing")
-    # Small buckets share a group; each group is a few thousand rows.
-    groups = max(1, spread.count() // 4096)
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = buckets.join(members, "rep").withColumn("_size", size)
+    n, total = F.count("*").alias("n"), F.sum("_size").alias("bytes")
+    parts = rows.groupBy("band", "key", "label").agg(n, total)
+    most = F.max(F.struct("n", "label", "bytes")).alias("_most")
+    opened = parts.groupBy("band", "key").agg(F.count("*").alias("_parts"), F.sum("n").alias("_n"), F.sum("bytes").alias("_b"), most)
+
+    def pieces(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / CHUNK, size / CHUNK_BYTES)).cast("long")
+
+    homes = pieces(F.col("_n"), F.col("_b")).alias("_homes")
+    blocks = pieces(F.col("_n") - F.col("_most.n"), F.col("_b") - F.col("_most.bytes")).alias("_blocks")
+    opened = opened.where("_parts > 1").select("band", "key", homes, blocks, F.col("_most.label").alias("_largest"))
+    rows = rows.drop("_size").join(opened, ["band", "key"]).withColumn("probe", F.col("label") != F.col("_largest"))
+    rows = rows.withColumn("_home", F.pmod(F.xxhash64("rep"), "_homes")).withColumn("_block", F.pmod(F.xxhash64("rep", F.lit(1)), "_blocks"))
+    as_home = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda i: i * F.col("_homes") + F.col("_home"))
+    as_probe = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_homes") - 1), lambda j: F.col("_block") * F.col("_homes") + j)
+    rows = rows.withColumn("place", F.explode(F.when(F.col("probe"), F.array_union(as_home, as_probe)).otherwise(as_home)))
+    rows = rows.withColumn("asks", F.col("probe") & (F.floor(F.col("place") / F.col("_homes")) == F.col("_block")))
+    rows = rows.withColumn("home", F.col("place") % F.col("_homes") == F.col("_home"))
+    return rows.select("band", "key", "place", "rep", "label", "probe", "asks", "home", *[c for c in members.columns if c != "rep"])
+
+
+def candidates(part: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one place: row numbers of a probe and of its homes in other components with signatures near enough."""
+    sig = np.frombuffer(b"".join(part["signature"]), np.uint32).reshape(len(part), COORDINATES)
+    rep, label, probe = (part[c].to_numpy() for c in ("rep", "label", "probe"))
+    at_home = part["home"].to_numpy()
+    for i in np.flatnonzero(part["asks"].to_numpy()):
+        other = np.flatnonzero(at_home & (label != label[i]) & (~probe | (rep > rep[i])))
+        near = other[(sig[other] == sig[i]).mean(axis=1) >= DOUBT]
+        if len(near):
+            yield i, near
+
+
+def by_places(rows: DataFrame, size: Column, judge, schema: str) -> DataFrame:
+    """``judge`` over the places of ``rows``; small places share a group of bounded rows and bytes."""
+    rows = save(rows, "places")
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    groups = max(1, total["n"] // 4096, int(total["bytes"]) // (4 * CHUNK_BYTES))
+
+    def judge_all(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([judge(part.reset_index(drop=True)) for _, part in group.groupby(["band", "key", "place"], sort=False)])
+
+    return rows.groupBy(F.pmod(F.xxhash64("band", "key", "place"), F.lit(groups)).alias("_g")).applyInPandas(judge_all, schema)
+
+
+def with_partners(buckets: DataFrame, signs: DataFrame) -> DataFrame:
+    """The classes of open buckets whose signature is near enough that of another component's in a bucket."""
+
+    def judge(part: pd.DataFrame) -> pd.DataFrame:
+        rep, found = part["rep"].to_numpy(), set()
+        for i, near in candidates(part):
+            found.add(i)
+            found.update(near)
+        return pd.DataFrame({"rep": rep[np.array(sorted(found), np.int64)]})
+
+    size = F.lit(4 * COORDINATES)
+    return by_places(placed(buckets, signs, size), size, judge, "rep long").distinct()
+
+
+def crossing_links(buckets: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Exact links ``a, b`` that join what is joined at all across the components of each open bucket."""
+
+    def judge(part: pd.DataFrame) -> pd.DataFrame:
+        rep, label, elements = (part[c].to_numpy() for c in ("rep", "label", "elements"))
+        root = {x: x for x in label}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
         a, b = [], []
-        for (_, _, chunk), part in rows.groupby(["band", "key", "chunk"], sort=False):
-            sig = np.frombuffer(b"".join(part["signature"]), np.uint32).reshape(len(part), COORDINATES)
-            rep, label = part["rep"].to_numpy(), part["label"].to_numpy()
-            at_home, probe = part["home"].to_numpy() == chunk, part["probe"].to_numpy()
-            for i in np.flatnonzero(probe):
-                other = np.flatnonzero(at_home & (label != label[i]) & (~probe | (rep > rep[i])))
-                near = other[(sig[other] == sig[i]).mean(axis=1) >= DOUBT]
-                a.extend(np.minimum(rep[near], rep[i]))
-                b.extend(np.maximum(rep[near], rep[i]))
+        for i, near in candidates(part):
+            for j in near:
+                x, y = elements[i], elements[j]
+                # The smaller set bounds what is common.
+                if top(label[i]) == top(label[j]) or not near_enough(min(len(x), len(y)), len(x), len(y)):
+                    continue
+                if near_enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+                    root[top(label[i])] = top(label[j])
+                    a.append(rep[i])
+                    b.append(rep[j])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    group = F.pmod(F.xxhash64("band", "key", "chunk"), F.lit(groups))
-    return spread.groupBy(group.alias("_g")).applyInPandas(compare, "a long, b long").distinct()
+    chosen = save(with_partners(buckets, signs), "partners")
+    members = signs.select("rep", "signature").join(chosen, "rep").join(sets, "rep")
+    size = 8 * F.size("elements") + 4 * COORDINATES
+    return by_places(placed(buckets, members, size), size, judge, "a long, b long").distinct()
+
+
+def all_links(buckets: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links ``a, b`` of exact similarity whose components are those of all near pairs of one bucket."""
+    buckets = save(still_open(buckets.withColumn("label", F.col("rep"))), "open")
+    signs = save(reps.join(buckets.select("rep").distinct(), "rep").select("rep", "signature", "text_key"), "ends")
+    texts = ids_and_texts(docs).withColumn("text_key", text_key())
+    chosen = texts.join(small(signs.select("rep", "text_key"), FEW), "text_key").groupBy("rep").agg(F.first("text").alias("text"))
+    sets = save(weighted_sets(chosen.select("rep", "text")), "sets")
+    signs = signs.select("rep", "signature")
+    links, turn = None, 0
+    while not buckets.isEmpty():
+        there = buckets.select("rep").distinct().count()
+        found = save(verified(star_pairs(buckets, turn), signs, sets), "links")
+        links = found if links is None else links.union(found)
+        n_found = found.count()
+        if n_found:
+            joined = components(found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+            joined = joined.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+            moved = buckets.join(joined, "label", "left").select("band", "key", "rep", F.coalesce("_to", "label").alias("label"))
+            buckets = save(still_open(save(moved, "moved")), "open")
+        if n_found * WORTH < there:
+            break
+        turn += 1
+    if links is None:
+        return buckets.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    links = links.select("a", "b")
+    return links if buckets.isEmpty() else links.union(save(crossing_links(buckets, signs, sets), "links"))
 
 
 def classed(docs: DataFrame) -> DataFrame:
@@ -346,13 +436,7 @@ def classed(docs: DataFrame) -> DataFrame:
     )
     reps = save(reps, "reps")
     buckets = save(bands(reps.where(F.col("words") != F.lit(NO_WORDS))), "bands")
-    links, labels = None, None
-    for turn in range(STARS):
-        found = save(verified(star_pairs(labelled_buckets(buckets, labels), turn), reps, docs), "links")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-    more = save(verified(crossing_pairs(labelled_buckets(buckets, labels), reps), reps, docs), "links")
-    labels = labels if more.isEmpty() else components(links.union(more))
+    labels = components(all_links(buckets, reps, docs))
     of = reps.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "first_id", F.coalesce("label", "rep").alias("class"))
     of = save(of, "classes")
     ids = of.groupBy("class").agg(F.min("first_id").alias("class_id"))
