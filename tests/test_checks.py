@@ -251,3 +251,16 @@ def test_report_sums_up(spark):
     rec = Recording(frames=frames_of(spark, healthy(spark)), infos=infos(spark))
     out = {r["check"]: r["severity"] for r in check_summary(report.run(rec, ["temporal", "episodes"])).collect()}
     assert out == {"temporal": "PASS", "episodes": "WARN"}
+
+
+def test_report_of_all_checks_has_each_check_of_each_dataset(spark):
+    from trajlake.plans import q_checks
+
+    sf = "/root/testdata/sf0.001"
+    got = {(r.dataset, r.check): (r.severity, r.findings) for r in q_checks.order_report(spark, sf).collect()}
+    datasets = {d for d, _ in got}
+    assert len(datasets) > 1 and set(got) == {(d, c) for d in datasets for c in report.CHECKS}
+    alone = ["temporal", "videos", "training"]
+    for r in q_checks.order_report(spark, sf, alone).collect():
+        assert got[r.dataset, r.check] == (r.severity, r.findings)
+    assert {s for s, _ in got.values()} == {"PASS", "WARN", "FAIL"}

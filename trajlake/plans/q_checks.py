@@ -570,3 +570,14 @@ def full_report(spark, sf):
     rec = dirty(spark, sf)
     found = report.run(rec, ["temporal", "actions", "statistics", "anomalies", "per_episode"])
     return check_summary(cut(found))
+
+
+def order_report(spark, sf, checks=None):
+    rec = order_recording(spark, sf)
+    rec.names = pose_names(spark)
+    return check_summary(cut(report.run(rec, checks)))
+
+
+@query("d14_all_checks")
+def all_checks(spark, sf):
+    return order_report(spark, sf)
