@@ -42,3 +42,19 @@ def test_videos_of_chunks_over_999_are_found(spark, order_tables):
     missing = files.missing_videos(expected, rec.inventory).select(*KEYS, "path").collect()
     # The priority 5-LOW has no video; the others have, whatever the digits of their chunk.
     assert [tuple(r) for r in missing] == [("7", 1_234_568, "videos/observation.images.top/chunk-1234/file-1234568.mp4")]
+
+
+def test_info_queries_number_no_frames(spark, order_tables, monkeypatch):
+    from trajlake.plans import q_checks, q_sources, views
+
+    def refused(*_):
+        raise AssertionError("frames are numbered for a query that reads none of them")
+
+    monkeypatch.setattr(views, "build_order_frames", refused)
+    sf = order_tables([(1, 7, "O", "2-HIGH", 2), (2, 7, "F", "5-LOW", 3), (3, 8, "O", "1-URGENT", 1)], {7: 10.0, 8: -10.0})
+    assert q_checks.missing_keys(spark, sf).count() == 0
+    totals = q_sources.dataset_info(spark, sf).select("dataset", "total_episodes").collect()
+    assert sorted(tuple(r) for r in totals) == [("7", 2), ("8", 2)]
+    lengths = views.order_episodes(spark, sf).select("episode_index", "length").collect()
+    assert sorted(tuple(r) for r in lengths) == [(1, 3), (2, 3), (3, 1)]
+    assert q_sources.parquet_listing(spark, sf).count() == 4
