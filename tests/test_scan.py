@@ -120,3 +120,21 @@ def test_files_of_given_names(spark, tmp_path):
     for k in range(3):
         assert pq.read_table(f"{tmp_path}/d e/x={k}.parquet")["id"].to_pylist() == [i for i in range(20) if i % 3 == k]
     assert os.listdir(tmp_path) == ["d e"]
+
+
+def test_named_files_start_no_process_each(spark, tmp_path):
+    """A file costs its rows: Spark's writer makes a folder and a checksum file for each."""
+    rows = spark.range(60).select("id", F.concat(F.lit("data/a b/x="), F.col("id") % 6, F.lit("%+.parquet")).alias("file"))
+    for part in (rows, rows.where("id % 6 < 2")):
+        sinks.write_files(part, str(tmp_path), order=["id"])
+    found = sorted(os.listdir(tmp_path / "data" / "a b"))
+    assert found == [f"x={i}%+.parquet" for i in range(6)]
+    assert os.listdir(tmp_path) == ["data"]
+    assert spark.read.parquet(str(tmp_path / "data" / "a b")).count() == 60
+
+
+def test_named_files_by_any_store(spark, tmp_path):
+    rows = spark.range(6).select("id", F.concat(F.lit("data/a b/x="), F.col("id") % 3, F.lit("%+.parquet")).alias("file"))
+    parts = sinks._parts_by_writer(rows.withColumnRenamed("file", "_file").coalesce(1), f"{tmp_path}/.hidden").collect()
+    assert sorted(r.file for r in parts) == [f"data/a b/x={i}%+.parquet" for i in range(3)]
+    assert all(os.path.exists(f"{tmp_path}/.hidden/{r.part}") for r in parts)
