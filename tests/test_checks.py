@@ -264,3 +264,21 @@ def test_report_of_all_checks_has_each_check_of_each_dataset(spark):
     for r in q_checks.order_report(spark, sf, alone).collect():
         assert got[r.dataset, r.check] == (r.severity, r.findings)
     assert {s for s, _ in got.values()} == {"PASS", "WARN", "FAIL"}
+
+
+def test_checks_share_the_passes_over_the_frames(spark, monkeypatch):
+    calls = []
+    for name in ("longest_frozen_run", "scaled_steps"):
+        plain = getattr(motion_checks, name)
+        monkeypatch.setattr(motion_checks, name, lambda *a, _n=name, _f=plain, **k: calls.append(_n) or _f(*a, **k))
+    still = [([0.01 * (i % 2)], [0.0]) for i in range(4000)]
+    rec = Recording(frames=frames_of(spark, {0: [*still, ([90.0], [0.0]), *still], 1: still}), infos=infos(spark))
+    column = rec.action_columns()[0]
+    found = {c: report.run(rec, [c]).where("metric in ('jumps', 'max_z', 'frozen_share')").count() for c in ("actions", "dimension_jumps", "per_episode")}
+    wide = len(set(rec.action_columns()) | set(rec.signal_columns()))
+    assert calls.count("longest_frozen_run") <= wide and calls.count("scaled_steps") <= wide
+    # The shared steps give what the lone functions give.
+    alone = motion_checks.mean_jumps(rec.frames, column).where("jumps > 0").collect()
+    assert found["actions"] >= len(alone) and alone == motion_checks.mean_jumps(rec.frames, column, steps=rec.large_steps(column)).collect()
+    lone = motion_checks.dimension_jumps(rec.frames, column).orderBy("position").collect()
+    assert lone and lone == motion_checks.dimension_jumps(rec.frames, column, steps=rec.large_steps(column)).orderBy("position").collect()
