@@ -191,3 +191,17 @@ def test_index_proof_holds_for_every_query():
         bar = np.sort(exact)[-6]
         rows, scores = index.search(q, 6)
         assert sorted(rows) == sorted(np.flatnonzero(exact >= bar)) and (scores == exact[rows]).all()
+
+
+def test_hub_rounds_write_the_open_buckets_once(spark, monkeypatch):
+    from trajlake.llm import dartminhash as dm
+
+    kinds = []
+    monkeypatch.setattr(dm, "save", lambda df, kind, *a, _f=dm.save: kinds.append(kind) or _f(df, kind, *a))
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]])) for i in range(4)] + [(9, "other words stand here alone and apart")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in dm.classed(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
+    # Of a round's buckets only the open ones are written.
+    assert "moved" not in kinds and kinds.count("open") >= 2

@@ -416,9 +416,10 @@ def all_links(buckets: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame
         n_found = found.count()
         if n_found:
             joined = components(found.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
-            joined = joined.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+            joined = small(joined.select(F.col("node").alias("label"), F.col("label").alias("_to")), FEW)
             moved = buckets.join(joined, "label", "left").select("band", "key", "rep", F.coalesce("_to", "label").alias("label"))
-            buckets = save(still_open(save(moved, "moved")), "open")
+            # Only what stays open is written, not every round's buckets twice.
+            buckets = save(still_open(moved), "open")
         if n_found * WORTH < there:
             break
         turn += 1
