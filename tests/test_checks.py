@@ -282,3 +282,9 @@ def test_checks_share_the_passes_over_the_frames(spark, monkeypatch):
     assert found["actions"] >= len(alone) and alone == motion_checks.mean_jumps(rec.frames, column, steps=rec.large_steps(column)).collect()
     lone = motion_checks.dimension_jumps(rec.frames, column).orderBy("position").collect()
     assert lone and lone == motion_checks.dimension_jumps(rec.frames, column, steps=rec.large_steps(column)).orderBy("position").collect()
+
+
+def test_rows_without_an_episode_id_lack_no_column_they_have(spark):
+    rows = [("d", 0, 0, 1.0, 1.0), ("d", None, 0, 1.0, 1.0), ("d", 1, 0, None, 1.0)]
+    f = spark.createDataFrame(rows, "dataset string, episode_index long, position long, a double, b double")
+    assert sorted_rows(files.column_differences(f, ["a", "b"])) == [("d", 1, "a", "missing")]
