@@ -48,3 +48,11 @@ def test_stages_chain_and_take_effect(spark, tmp_path):
 def test_stages_use_their_operators():
     modules = [gam, dartminhash, surrogates, mixing, patterns]
     assert len(corpus_pipeline.STAGES) == len(modules) and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_send_texts_to_python_by_bytes(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before, seen = spark.conf.get(corpus_pipeline.BATCH_KEY), []
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", lambda s, docs, sf: seen.append(s.conf.get(corpus_pipeline.BATCH_KEY)) or docs)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1
+    assert seen == [str(corpus_pipeline.BATCH_BYTES)] and spark.conf.get(corpus_pipeline.BATCH_KEY) == before

@@ -114,6 +114,26 @@ def test_a_weak_signature_still_gives_whole_classes_by_components(spark):
     assert got == {i: 1 for i in range(1, 41)} | {50: 50, 60: 50, 55: 50}
 
 
+def test_few_labels_are_written_by_few_tasks(spark, monkeypatch):
+    kept, save = [], dartminhash.save
+    monkeypatch.setattr(dartminhash, "save", lambda *a, **k: kept.append((a[1], save(*a, **k))) or kept[-1][1])
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long").repartition(9)
+    assert {r.label for r in dartminhash.components(links).collect()} == {1}
+    assert {len(t.inputFiles()) for kind, t in kept if kind in ("labels", "nearer")} == {1}
+
+
+def test_hub_rounds_end_when_they_join_few(docs_of, monkeypatch):
+    # Copies of which most are unlike: a round that joins one in thirty is the last.
+    turns, star = [], dartminhash.star_pairs
+    monkeypatch.setattr(dartminhash, "star_pairs", lambda buckets, turn: turns.append(turn) or star(buckets, turn))
+    monkeypatch.setattr(dartminhash, "verified", lambda pairs, signs, sets: pairs.orderBy("a", "b").limit(max(1, signs.count() // 30)))
+    monkeypatch.setattr(dartminhash, "crossing_links", lambda buckets, signs, sets: signs.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
+    base = [f"g{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[:60], f"x{i}", *base[61:]])) for i in range(90)]
+    assert dartminhash.classed(docs_of(rows)).count() == 90
+    assert turns == [0]
+
+
 def brute_verdict(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest)[0]

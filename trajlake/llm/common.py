@@ -29,10 +29,19 @@ def remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-def save(df: DataFrame, kind: str, by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as zstandard parquet in the shared folder and read it from there."""
+FILE_ROWS = 200_000  # rows of a few numbers that one task may write
+
+
+def save(df: DataFrame, kind: str, by: list[str] | None = None, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as zstandard parquet in the shared folder and read it from there.
+
+    ``rows``, where known, is the most rows of a few numbers that ``df`` can have: they are written by
+    no more tasks than they need, as a round on few rows would else leave a file for every partition.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, kind)
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
