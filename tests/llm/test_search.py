@@ -213,6 +213,30 @@ def test_index_proof_holds_for_every_query():
         assert sorted(rows) == sorted(np.flatnonzero(exact >= bar)) and (scores == exact[rows]).all()
 
 
+def test_index_leaves_few_of_vectors_in_all_directions():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(8000, 64))
+    matrix = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    index = impact.BlockIndex(matrix)
+    asked = matrix[:100]
+    assert np.mean([len(rows) for rows in index.possible(asked, 6)]) < 200
+    for q, (rows, scores) in zip(asked, index.search_all(asked, 6)):
+        exact = matrix @ q
+        assert sorted(rows) == sorted(np.flatnonzero(exact >= np.sort(exact)[-6])) and (scores == exact[rows]).all()
+
+
+def test_index_holds_for_wide_and_flat_values():
+    rng = np.random.default_rng(4)
+    for high in (0, 1, 9, 1 << 20, 1 << 29):
+        matrix = rng.integers(-high, high + 1, (400, 3))
+        matrix[:, 1] = 7
+        index = impact.BlockIndex(matrix)
+        for q in (*matrix[:9], -matrix[3]):
+            exact = matrix @ q
+            rows, scores = index.search(q, 6)
+            assert sorted(rows) == sorted(np.flatnonzero(exact >= np.sort(exact)[-6])) and (scores == exact[rows]).all()
+
+
 def test_hub_rounds_write_the_open_buckets_once(spark, monkeypatch):
     from trajlake.llm import dartminhash as dm
 

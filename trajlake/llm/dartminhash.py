@@ -269,14 +269,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = save(links.union(links.select("b", "a")).distinct(), "edges")
     rows = edges.count()
     labels = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    labels = save(labels, "labels", rows=rows)
+    labels = save(labels, "labels", None, rows)
     while True:
         seen = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("_m"))
         nearer = labels.join(seen, F.col("node") == F.col("a")).select("node", F.least("label", "_m").alias("to"), "label")
-        nearer = save(nearer, "nearer", rows=rows)
+        nearer = save(nearer, "nearer", None, rows)
         # The label of the label: halves the distance to the smallest node.
         far = nearer.select(F.col("node").alias("to"), F.col("to").alias("_far"))
-        nxt = save(nearer.join(far, "to").select("node", F.least("to", "_far").alias("label"), F.col("label").alias("_was")), "labels", rows=rows)
+        nxt = save(nearer.join(far, "to").select("node", F.least("to", "_far").alias("label"), F.col("label").alias("_was")), "labels", None, rows)
         if nxt.where("label != _was").isEmpty():
             return nxt.select("node", "label")
         labels = nxt.select("node", "label")
@@ -420,7 +420,7 @@ def all_links(buckets: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame
             joined = small(joined.select(F.col("node").alias("label"), F.col("label").alias("_to")), FEW)
             moved = buckets.join(joined, "label", "left").select("band", "key", "rep", F.coalesce("_to", "label").alias("label"))
             # Only what stays open is written, not every round's buckets twice.
-            buckets = save(still_open(moved), "open", rows=BANDS * there)
+            buckets = save(still_open(moved), "open", None, BANDS * there)
         if n_found * WORTH < there:
             break
         turn += 1

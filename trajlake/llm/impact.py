@@ -1,18 +1,20 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Vectors are turned into whole numbers. The index of a block of vectors has, for each
-dimension, its vectors in order of the value, cut into segments of quantised impact. A
-query adds up impacts segment by segment, the largest first: a segment of dimension d adds
-|q_d| times the least distance of its values from the worst value of d in the block, so
-every addition is a lower bound and none is negative. After some segments,
-
-* a vector's sum so far is a lower bound of its score (up to a constant of the query);
-* sum + R is an upper bound, where R adds, over all dimensions, the most that a segment not
-  yet processed, or the rounding within a processed one, can still give.
+Vectors are turned into whole numbers. The index of a block of vectors holds, for each
+dimension, the distance of each value from the dimension's least one in the block, cut
+into digits of ``DIGIT_BITS`` bits. The first digits of all dimensions are the segments of
+largest impact, the next ones those of the next impact, and so on. Queries are taken some
+together and add up impacts plane by plane, the largest first: a plane adds q_d times the
+part of the distance that its digit of d stands for. After some planes,
+
+* a vector's sum so far plus R-, the least that the digits not yet added can give (all
+  their bits set where q_d is negative), is a lower bound of its score;
+* the sum plus R+, the most that they can give, is an upper bound (both up to a constant
+  of the query).
 
 A vector whose upper bound is below the k-th largest lower bound can't be among the k best.
-Processing stops only when few enough vectors remain possible, or all segments are done;
-all possible members are then scored exactly. So the result is exact for any data.
+A query stops when few enough vectors remain possible, or all planes are done; all possible
+members are then scored exactly. So the result is exact for any data.
 
 Vectors of the same numbers are one entry with their k + 1 smallest ids: no other of them
 can be in a result. Queries go to every block of the index, in blocks, and the blocks'
@@ -36,8 +38,10 @@ from trajlake.llm.common import save
 
 BLOCK = 8192  # vectors of an index block
 QUERY_BLOCK = 2048  # queries that meet a block in one task
-SEGMENTS = 16  # segments of a dimension in a block
-FEW = 64  # possible members that are rescored without further segments
+DIGIT_BITS = 3  # of an impact, in a plane
+TOGETHER = 64  # queries that a block answers at once
+EXACT = 1 << 53  # sums below this are exact in float64, whose products are far faster
+FEW = 64  # possible members that are rescored without further planes
 
 
 def whole_numbers(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
@@ -50,57 +54,61 @@ def whole_numbers(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
 
 
 class BlockIndex:
-    """Impact-ordered segments of one block; ``search`` gives the k best entries of a query."""
+    """Planes of impact digits of one block; ``search`` gives the k best entries of a query."""
 
     def __init__(self, matrix: np.ndarray) -> None:
         self.matrix = matrix
-        n, self.dims = matrix.shape
-        self.low, self.high = matrix.min(axis=0), matrix.max(axis=0)
-        order = np.argsort(matrix, axis=0, kind="stable")
-        cuts = np.unique(np.linspace(0, n, min(SEGMENTS, n) + 1).astype(int))
-        # For each dimension and segment: members, least and greatest value.
-        self.members = [[order[a:b, d] for a, b in zip(cuts, cuts[1:])] for d in range(self.dims)]
-        first, last = cuts[:-1], cuts[1:] - 1
-        every = np.arange(self.dims)
-        self.least = matrix[order[first][:, every], every].T if n else np.zeros((self.dims, 0), np.int64)
-        self.most = matrix[order[last][:, every], every].T if n else np.zeros((self.dims, 0), np.int64)
-
-    def possible(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Rows that can be among the k best of ``q``: few, or proved by all segments."""
+        self.dims = matrix.shape[1]
+        # Distances are unsigned: the range of a dimension may pass 63 bits.
+        self.low = matrix.min(axis=0)
+        far = matrix.astype(np.uint64) - self.low.astype(np.uint64)
+        self.bits = np.array([int(x).bit_length() for x in far.max(axis=0)], np.int64)
+        self.greatest = int(self.bits.max(initial=0))
+        self.planes, self.rest = [], []
+        for done in range(DIGIT_BITS, self.greatest + DIGIT_BITS, DIGIT_BITS):
+            # Each dimension starts at its own highest bit.
+            below = np.maximum(self.bits - done, 0).astype(np.uint64)
+            above = np.minimum(self.bits - done + DIGIT_BITS, 63).clip(0).astype(np.uint64)
+            digits = (far >> below << below) & ((np.uint64(1) << above) - np.uint64(1) if done > DIGIT_BITS else ~np.uint64(0))
+            self.planes.append(digits.astype(np.float64))
+            self.rest.append(((np.uint64(1) << below) - np.uint64(1)).astype(np.float64))
+
+    def possible(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the rows that can be among its k best: few, or what all planes leave."""
         n = len(self.matrix)
-        if n <= max(FEW, k):
-            return np.arange(n)
-        up = (q >= 0)[:, None]
-        size = np.abs(q)[:, None]
-        sure = size * np.where(up, self.least - self.low[:, None], self.high[:, None] - self.most)
-        best = size * np.where(up, self.most - self.low[:, None], self.high[:, None] - self.least)
-        slack = (best - sure).max(axis=1)  # of processed segments, for the dimension
-        dims, parts = np.unravel_index(np.argsort(-best, axis=None, kind="stable"), best.shape)
-        rest = best.max(axis=1)  # the most that a vector can still gain from a dimension
-        done = np.zeros(self.dims, int)
-        ranked = -np.sort(-best, axis=1)
-        total = np.zeros(n, np.int64)
-        alive = np.arange(n)
-        check = max(1, len(dims) // 8)
-        for step, (d, s) in enumerate(zip(dims, parts), 1):
-            total[self.members[d][s]] += sure[d, s]
-            done[d] += 1
-            rest[d] = max(ranked[d, done[d]] if done[d] < ranked.shape[1] else 0, slack[d])
-            if step % check == 0 or step == len(dims):
-                bar = np.partition(total, n - k)[n - k]
-                alive = np.flatnonzero(total + rest.sum() >= bar)
-                if len(alive) <= FEW:
-                    break
-        return alive
+        every = np.arange(n)
+        size = int(np.abs(queries.astype(object)).max(initial=0)) if queries.size else 0
+        if n <= max(FEW, k) or size * (self.dims << self.greatest) >= EXACT:
+            return [every] * len(queries)
+        found: list[np.ndarray] = [every] * len(queries)
+        asking = np.arange(len(queries))
+        q = queries.astype(np.float64)
+        total = np.zeros((len(queries), n))
+        for plane, rest in zip(self.planes, self.rest):
+            total += q @ plane.T
+            bar = np.partition(total, n - k, axis=1)[:, n - k] - np.abs(q) @ rest
+            alive = total >= bar[:, None]
+            few = np.count_nonzero(alive, axis=1) <= FEW
+            for i, j in enumerate(asking):
+                found[j] = np.flatnonzero(alive[i])
+            if few.all():
+                break
+            q, total, asking = q[~few], total[~few], asking[~few]
+        return found
+
+    def search_all(self, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query, rows and scores of the possible members that reach the k-th best score, ties included."""
+        for first in range(0, len(queries), TOGETHER):
+            some = queries[first : first + TOGETHER]
+            for q, rows in zip(some, self.possible(some, k)):
+                scores = self.matrix[rows] @ q
+                if len(rows) > k:
+                    bar = np.partition(scores, len(rows) - k)[len(rows) - k]
+                    rows, scores = rows[scores >= bar], scores[scores >= bar]
+                yield rows, scores
 
     def search(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the possible members that reach the k-th best score, ties included."""
-        rows = self.possible(q, k)
-        scores = self.matrix[rows] @ q
-        if len(rows) > k:
-            bar = np.partition(scores, len(rows) - k)[len(rows) - k]
-            rows, scores = rows[scores >= bar], scores[scores >= bar]
-        return rows, scores
+        return next(self.search_all(q[None, :], k))
 
 
 def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
@@ -133,9 +141,9 @@ def top(numbers: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         if len(found) and len(wanted):
             block = BlockIndex(_matrix(found["v"], dims))
             ids = found["ids"].to_numpy()
-            for query_id, key, q in zip(wanted["id"], wanted["key"], _matrix(wanted["v"], dims)):
-                # One more than k: the query's own row may be among them.
-                hits, scores = block.search(q, k + 1)
+            asked_for = _matrix(wanted["v"], dims)
+            # One more than k: the query's own row may be among them.
+            for query_id, key, q, (hits, scores) in zip(wanted["id"], wanted["key"], asked_for, block.search_all(asked_for, k + 1)):
                 best = sorted(
                     (-int(s), int(i))
                     for h, s in zip(hits, scores)
