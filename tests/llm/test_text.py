@@ -236,3 +236,18 @@ def test_mixed_documents_are_whole(docs_of, odd):
     assert set(got) <= texts and max(got.count(x) for x in set(got)) <= 6
     assert abs(len(got) - len(rows)) < 40
     assert mixing.repeated(docs_of([])).collect() == []
+
+
+def test_each_text_is_fingerprinted_once(docs_of, monkeypatch):
+    # The next document's fingerprint is the one of its own row, not made again.
+    made, known = [], imatch.in_lexicon
+    monkeypatch.setattr(imatch, "in_lexicon", lambda *a: made.append(a) or known(*a))
+    rows = [(i, " ".join(f"w{(i * k) % 7}" for k in range(1, 9))) for i in range(6)] + [(9, None)]
+    got = {r.doc_id: r for r in imatch.fingerprints(docs_of(rows)).collect()}
+    assert len(made) == 2
+    order = sorted(got, reverse=True)
+    for a, b in zip(order, order[1:] + order[:1]):
+        x, y = got[a].fingerprint.split("."), got[b].fingerprint.split(".")
+        either = [p for p in zip(x, y) if p != ("-", "-")]
+        plain = 0.0 if min(len(x), len(y)) == 1 else sum(p[0] == p[1] for p in either) / max(1, len(either))
+        assert got[a].near_next == (1.0 if x == y else plain)

@@ -22,7 +22,7 @@ A single document is next to itself. An empty table gives no rows. Other columns
 ignored; texts are read whole.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import ids_and_texts, save
@@ -112,8 +112,8 @@ def range_of(doc_id: Column, bounds: list[int], depth: int) -> Column:
     )
 
 
-def with_next(texts: DataFrame) -> DataFrame:
-    """Add ``row`` and ``block`` (a key of the row) and ``next``, the text of the next row by descending doc_id.
+def spread_ranges(texts: DataFrame) -> tuple[DataFrame, WindowSpec]:
+    """The rows by ``block``, and the window along a block by descending doc_id; rows with ``guest`` 1 are copies.
 
     Rows are cut into ranges of doc_id at sampled quantiles; the first row of each range
     is copied to the range before it in that order. So each text moves once and no task
@@ -141,7 +141,12 @@ def with_next(texts: DataFrame) -> DataFrame:
         )
     )
     spread = marked.select("doc_id", "text", F.explode(copies).alias("_c")).select("doc_id", "text", "_c.block", "_c.guest")
-    along = Window.partitionBy("block").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    return spread, Window.partitionBy("block").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+
+
+def with_next(texts: DataFrame) -> DataFrame:
+    """Add ``row`` and ``block`` (a key of the row) and ``next``, the text of the next row by descending doc_id."""
+    spread, along = spread_ranges(texts)
     rows = spread.withColumn("next", F.lead("text").over(along)).withColumn("row", F.row_number().over(along))
     return rows.where("guest = 0").drop("guest")
 
@@ -156,31 +161,26 @@ def edited_text(text: Column, following: Column) -> Column:
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH, seed: int = 0) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
     texts = ids_and_texts(docs)
-    known = lexicon(texts, low, high, seed)
-    rows = with_next(texts).drop("block", "row").withColumn("edited", edited_text(F.col("text"), F.col("next")))
-    table = lookup(known)
-    rows = rows.select("*", *[terms(F.col(c)).alias(f"_{c}") for c in ("text", "edited", "next")])
-    lists = rows.select(
+    table = lookup(lexicon(texts, low, high, seed))
+
+    def printed(rows: DataFrame, column: str, name: str) -> DataFrame:
+        """Add the fingerprint of a text column, an array of hashes; without lexicon terms one hash, that of all terms."""
+        rows = rows.withColumn("_terms", terms(F.col(column)))
+        whole = F.hex(F.xxhash64(F.array_join(F.array_sort("_terms"), " "))).alias("_whole")
+        rows = rows.select(*[c for c in rows.columns if c != "_terms"], whole, in_lexicon(F.col("_terms"), table).alias("_known"))
+        return rows.withColumn(
+            name, F.when(F.size("_known") == 0, F.array(F.concat(F.lit("*"), F.col("_whole")))).otherwise(subset_hashes("_known"))
+        ).drop("_whole", "_known")
+
+    # Each text's fingerprint is made once and then handed to the row before it, as its next.
+    spread, along = spread_ranges(texts)
+    rows = printed(spread, "text", "_ft").withColumns({"next": F.lead("text").over(along), "_fn": F.lead("_ft").over(along)})
+    rows = rows.where("guest = 0").select("doc_id", "text", "_ft", "_fn", edited_text(F.col("text"), F.col("next")).alias("edited"))
+    prints = printed(rows, "edited", "_fe")
+    return prints.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        *[F.hex(F.xxhash64(F.array_join(F.array_sort(f"_{c}"), " "))).alias(f"_{c}") for c in ("text", "edited", "next")],
-        *[in_lexicon(F.col(f"_{c}"), table).alias(k) for c, k in (("text", "_kt"), ("edited", "_ke"), ("next", "_kn"))],
-    )
-    # A document without lexicon terms gets one hash, that of all its terms.
-    prints = lists.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        *[
-            F.when(F.size(k) == 0, F.array(F.concat(F.lit("*"), F.col(p)))).otherwise(subset_hashes(k)).alias(name)
-            for k, p, name in (("_kt", "_text", "_ft"), ("_ke", "_edited", "_fe"), ("_kn", "_next", "_fn"))
-        ],
-    )
-    return prints.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
         F.array_join("_ft", ".").alias("fingerprint"),
         F.array_join("_fe", ".").alias("edited_fingerprint"),
         likeness("_ft", "_fe").alias("near_edited"),
