@@ -29,6 +29,25 @@ def test_pieces_give_the_ids_of_the_whole_text(name):
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == whole(text), repr(text)
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_plain_words_go_to_the_model_once(name):
+    mine, whole = Encoder(public_tokenizers.path(name)), library(name)
+    assert mine.plain
+    calls = []
+    direct = mine._direct
+    mine._direct = lambda texts: calls.extend(texts) or direct(texts)
+    text = "The Thändisch, thändisch... ÉTÉ!? \nßÿØø; word word. zyxwv#$%"
+    for _ in range(2):
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == whole(text)
+    # Only the space and newline before a word, where the file's cuts keep both, need the library's whole call.
+    assert calls == ([] if mine.drops_space else [" \nßÿØø;"])
+    parts = ["a", "Bc", "À", "Þß", "ÿ", "×", "÷", "ª", "e\u0301", " ", "\n", "\t", "'", "'s", ".", "|", "!?", "_", "12", "ǅ"]
+    rnd = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12)))
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == whole(text), repr(text)
+
+
 def test_files_round_trip(spark, docs_of, odd):
     ids_of = library(FILES[0])
     for rows in (odd, odd[:1], []):
