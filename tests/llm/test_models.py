@@ -1,9 +1,12 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from trajlake.llm import gam, hmm
 
@@ -100,3 +103,23 @@ def test_quality_of_odd_rows_and_held_out_labels(spark, docs_of, odd):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in gam.scored(docs_of(odd[:3]), empty).collect()] == [0.5] * 3
     assert gam.scored(docs_of([]), labels).collect() == []
+
+
+@pytest.mark.parametrize("size", [300, 3000])
+def test_features_are_measured_in_small_slices(size):
+    rng = np.random.default_rng(3)
+    words = np.array(["the", "Word", "x.", "12", "\n", "é", "longer-word,"])
+    texts = pa.array([" ".join(rng.choice(words, size // 4)) for _ in range(3_000_000 // size)], pa.string())
+    list(gam.feature_slices(texts.slice(0, 5)))
+    tracemalloc.start()
+    rows, at = [], 0
+    for first, last, x in gam.feature_slices(texts):
+        assert first == at and last - first == len(x)
+        rows.append(x)
+        at = last
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at == len(texts) and peak < 60 << 20
+    some = rng.choice(len(texts), 20, replace=False)
+    alone = np.concatenate([x for i in some for _, _, x in gam.feature_slices(texts.slice(int(i), 1))])
+    assert (np.concatenate(rows)[some] == alone).all()

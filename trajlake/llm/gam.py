@@ -33,6 +33,8 @@ SAMPLE_ROWS = 20_000
 BINS = 32
 PAIR_BINS = 8
 FEW = 1_000_000  # ids that may be broadcast
+SLICE_BYTES = 1 << 19  # text bytes measured at once: a byte takes some 60 for a while, in each worker of an executor
+SLICE_ROWS = 1024  # and texts, whose histograms take 2 KB each, several times
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "long_word", "space", "newline", "upper", "lower", "digit", "comma_period",
@@ -111,13 +113,19 @@ def features_of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1).astype(np.float32)
 
 
+def feature_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Rows ``[first, last)`` of ``texts`` and their features, in slices of bounded size (one text at least)."""
+    for start in range(0, len(texts), SLICE_ROWS):
+        for first, last, raw, offsets in text_slices(texts.slice(start, SLICE_ROWS), SLICE_BYTES):
+            yield start + first, start + last, features_of(raw, offsets)
+
+
 def features(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``x`` (binary, float32 values in the order of :data:`FEATURES`) for each row."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, raw, offsets in text_slices(batch.column(1), 1 << 21):
-                rows = features_of(raw, offsets)
+            for first, last, rows in feature_slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array([x.tobytes() for x in rows], pa.binary())],
                     ["doc_id", "x"],
@@ -281,7 +289,7 @@ def accepted(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Dat
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        rows = [features_of(raw, offsets) for _, _, raw, offsets in text_slices(pa.array(texts, pa.string()), 1 << 21)]
+        rows = [x for _, _, x in feature_slices(pa.array(texts, pa.string()))]
         return pd.Series(model.score(np.concatenate(rows)) if rows else np.zeros(0))
 
     return docs.where(score(whole_text()) >= 0.5)
