@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from trajlake.llm import patterns, seekable
+from trajlake.llm import patterns, seekable, tokenise, words
 from trajlake.llm.common import save
 from trajlake.llm.tokenise import Encoder
 
@@ -48,6 +48,23 @@ def test_plain_words_go_to_the_model_once(name):
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == whole(text), repr(text)
 
 
+def test_memory_of_pieces_is_bounded_and_keeps_the_first(monkeypatch):
+    monkeypatch.setattr(tokenise, "KEEP", 40)
+    mine, whole = Encoder(public_tokenizers.path(FILES[1])), library(FILES[1])
+    for i in range(60):
+        text = f" often {'ab'[i % 2] * (i + 1)}. " + " ".join("xyz"[j % 3] * (j + i) for j in range(1, 9))
+        assert np.frombuffer(mine.encode(text), "<u4").tolist() == whole(text)
+        assert len(mine.known) <= 60 and b" often" in mine.known
+
+
+def test_powers_take_no_more_than_they_need():
+    before = dict(words._POWERS)
+    words._POWERS.clear()
+    up, down = words._powers((1 << 20) + 1)
+    assert len(words._POWERS["up"]) < 1.2 * (1 << 20) and (up[:99] * down[:99] == 1).all()
+    words._POWERS.update(before)
+
+
 def test_files_round_trip(spark, docs_of, odd):
     ids_of = library(FILES[0])
     for rows in (odd, odd[:1], []):

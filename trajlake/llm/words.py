@@ -33,7 +33,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = 1 << max(16, n.bit_length())
+        size = max(1 << 16, n + (n >> 3))
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         with np.errstate(over="ignore"):
             for name, base in (("up", _BASE), ("down", inverse)):
