@@ -138,3 +138,89 @@ def test_named_files_by_any_store(spark, tmp_path):
     parts = sinks._parts_by_writer(rows.withColumnRenamed("file", "_file").coalesce(1), f"{tmp_path}/.hidden").collect()
     assert sorted(r.file for r in parts) == [f"data/a b/x={i}%+.parquet" for i in range(3)]
     assert all(os.path.exists(f"{tmp_path}/.hidden/{r.part}") for r in parts)
+
+
+def test_the_driver_moves_and_lists_no_files(spark, tmp_path, monkeypatch):
+    """Names of files stay in tasks: a root can hold more of them than the driver."""
+    monkeypatch.setattr(sinks, "_move_by_store", None)
+    rows = spark.range(60).select("id", F.concat(F.lit("N/data/a b/x="), F.col("id") % 6, F.lit("%+.parquet")).alias("file"))
+    old = spark.range(1).coalesce(1)
+    old.write.parquet(f"{tmp_path}/old")
+    written = next(n for n in os.listdir(f"{tmp_path}/old") if n.startswith("part"))
+    os.makedirs(f"{tmp_path}/root/N/data/a b")
+    for mark, end in (("", ""), (".", ".crc")):
+        os.rename(f"{tmp_path}/old/{mark}{written}{end}", f"{tmp_path}/root/N/data/a b/{mark}x=0%+.parquet{end}")
+    sinks.write_files(rows, f"{tmp_path}/root", order=["id"])
+    for name in ("_hidden.parquet", ".hidden.parquet", "notes.txt", "empty.parquet"):
+        (tmp_path / "root" / "N" / name).write_text("" if name == "empty.parquet" else "x")
+    put(f"{tmp_path}/root/_temporary/data/lost.parquet", id=pa.array([1]))
+    listed = scan.parquet_files(spark, f"{tmp_path}/root")
+    assert "binaryFile" not in listed._jdf.queryExecution().toString()
+    assert sorted(r.rel for r in listed.collect()) == [f"N/data/a b/x={i}%+.parquet" for i in range(6)]
+    assert {r.rel: r.size for r in listed.collect()} == {
+        f"N/data/a b/x={i}%+.parquet": os.path.getsize(f"{tmp_path}/root/N/data/a b/x={i}%+.parquet") for i in range(6)
+    }
+    # A replaced file's old checksum is gone, so Spark reads the new rows.
+    assert spark.read.parquet(f"{tmp_path}/root/N/data/a b").count() == 60
+
+
+def test_a_file_in_two_parts_is_refused(spark, tmp_path, monkeypatch):
+    parts = spark.createDataFrame([("a.parquet", "1"), ("a.parquet", "2")], "file string, part string")
+    monkeypatch.setattr(sinks, "_parts_by_tasks", lambda rows, folder: parts)
+    with pytest.raises(RuntimeError, match="a.parquet was written in several parts"):
+        sinks.write_files(spark.range(1).withColumn("file", F.lit("a.parquet")), str(tmp_path))
+
+
+def test_moves_by_any_store(spark, tmp_path, monkeypatch):
+    """The driver moves a bounded number of files at a time."""
+    monkeypatch.setattr(sinks, "MOVES", 2)
+    for i in range(5):
+        put(f"{tmp_path}/hidden/{i}.parquet", id=pa.array([i]))
+    put(f"{tmp_path}/root/a/0.parquet", id=pa.array([9]))
+    rows = [(f"{'ab'[i % 2]}/{i}.parquet", f"{i}.parquet") for i in range(5)]
+    parts = spark.createDataFrame(rows, "file string, part string")
+    sinks._move_by_store(parts, *sinks._store(spark, str(tmp_path)), f"{tmp_path}/hidden", f"{tmp_path}/root")
+    assert {f: pq.read_table(f"{tmp_path}/root/{f}")["id"].to_pylist() for f, _ in rows} == {f: [i] for i, (f, _) in enumerate(rows)}
+
+
+@pytest.fixture
+def many(monkeypatch):
+    """Every group counts as one of many files."""
+    monkeypatch.setattr(scan, "MANY_FILES", 0)
+    monkeypatch.setattr(scan, "READ_ROWS", 2)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()), key=str)
+
+
+def test_many_files_are_opened_by_tasks(spark, root, many, monkeypatch):
+    """The same rows, with no file's name on the driver."""
+    opened = readers.read_frames(spark, root)
+    places = spark.createDataFrame([("b", 7, "data/chunk-009/gone.parquet", 0, 2)], "dataset string, episode_index long, file string, from_index long, to_index long")
+    located = readers.read_located(spark, root, places, ["action"])
+    assert all(not g.paths for g in readers.scan_plan(spark, root))
+    assert "FileScan parquet [episode" not in opened._jdf.queryExecution().toString()
+    monkeypatch.setattr(scan, "MANY_FILES", 2_000)
+    read, found = readers.read_frames(spark, root), readers.read_located(spark, root, places, ["action"])
+    assert opened.schema == read.schema and rows_of(opened) == rows_of(read)
+    assert located.schema == found.schema and rows_of(located) == rows_of(found) and located.count() == 2
+
+
+def test_stored_types_of_many_files(spark, tmp_path, many, monkeypatch):
+    day, at = pa.array([1, None, 3], pa.int32()).cast(pa.date32()), pa.array([1, 2, None], pa.int64())
+    columns = {
+        "path": pa.array(["x", None, "y"]).dictionary_encode(), "big": pa.array(["p", "q", None], pa.large_string()),
+        "u8": pa.array([1, None, 255], pa.uint8()), "u64": pa.array([1, None, 2**64 - 1], pa.uint64()), "day": day,
+        "raw": pa.array([b"a", None, b""]), "at": at.cast(pa.timestamp("us")), "utc": at.cast(pa.timestamp("ms", tz="UTC")),
+        "fixed": pa.array([[1.0, 2.0], [None, 5.0], [3.0, 4.0]], pa.list_(pa.float32(), 2)),
+        "nest": pa.array([{"a": 1, "b": [2]}, None, {"a": None, "b": None}]),
+    }
+    os.makedirs(f"{tmp_path}/d/data")
+    pq.write_table(pa.table(columns), f"{tmp_path}/d/data/part-00000.parquet")
+    opened = readers.read_frames(spark, str(tmp_path))
+    nothing = readers.read_frames(spark, str(tmp_path), ["absent"])
+    monkeypatch.setattr(scan, "MANY_FILES", 2_000)
+    read = readers.read_frames(spark, str(tmp_path))
+    assert opened.schema == read.schema and rows_of(opened) == rows_of(read) and opened.count() == 3
+    assert nothing.count() == 3
